@@ -192,7 +192,7 @@ STRONG_SLOT = (
     "\\[[^\\[\\] \\n]{1,5} compl[^ \\]]{1,3}ter ?:? ?[\\w ]{0,40}\\]", r"\[(?:Your|My) [A-Z][\w' ]{1,40}\]",
 )
 #: slots that formulas and code use as well: only as a whole word of running prose
-BARE_SLOT = (r"(?<![\\_^$#%{\w})\]])\{(?:[A-Za-z]{3,}(?:_[a-z]+)*|\d)\}(?![{_^\w(])",)
+BARE_SLOT = (r"(?<![\\_^$#%{\w})\]])\{(?:[A-Za-z]{3,}(?:_[a-z]+)*|\d)\}(?![{_^\w(])", r"\b[QA]\{\w+\}:")
 
 #: sentences that speak of templates, markup or crawling rather than being residue
 SUBJECT = (
@@ -217,7 +217,7 @@ def _fold_pattern(pattern: str) -> str:
 
 
 _LEAD = r"^(?:(?:" + "|".join(FURNITURE) + r")[ .]*)*(?:(?:" + "|".join(OPENERS) + r")[ ,:.!\-]+)*"
-_TAGS = r"(?i)</?(?:p|br|div|span|b|i|em|strong|u|a|li|ul|ol|h[1-6]|html|head|body|title|noscript|table|tr|td|th|pre|code|section|article|main|center|hr|font|sup|sub)(?:\s[^<>]{0,200})?/?>"
+_TAGS = r"(?i)</?(?:p|br|div|span|b|i|em|strong|u|a|li|ul|ol|h[1-6]|html|head|body|title|noscript|table|tr|td|th|pre|code|section|article|main|center|hr|font|sup|sub)(?:\s+[a-zA-Z-]+ ?= ?[^<>]{0,200})?\s?/?>"
 NOTICE_RE = _fold_pattern(_LEAD + "(?:" + "|".join(f"(?:{p})" for p in (*SCRIPT_NOTICE, *ERROR_NOTICE, *FILLER_NOTICE)) + r")$")
 SCRIPT_RE = _fold_pattern(_LEAD + _any(SCRIPT_NOTICE) + "$")
 ERROR_RE = _fold_pattern(_LEAD + _any(ERROR_NOTICE) + "$")
