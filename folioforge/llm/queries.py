@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioforge.llm import splitting, survivor
+from folioforge.llm import consensus, matching, neighbors, residue, splitting, survivor
 from folioforge.sources import table
 
 
@@ -30,6 +31,47 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(splitting.corpus_rows(table(spark, d, "paper_records"), table(spark, d, "chunk_records")))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = matching.listings_to_papers(table(spark, d, "hard_negative_papers"), table(spark, d, "openreview_papers"))
+    return found.select("hn_id", "paper_id")
+
+
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    found = matching.listings_to_papers(table(spark, d, "hard_negative_papers"), table(spark, d, "openreview_papers"), threshold=0.05)
+    return found.withColumn("confidence", F.round("confidence", 4))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.feedback_consensus(table(spark, d, "human_feedback")).select("query_id", "feedback_item_id", "judgement")
+
+
+def p4_reliability(spark: SparkSession, d: str) -> DataFrame:
+    _, confusion = consensus.variational_consensus(consensus.feedback_votes(table(spark, d, "human_feedback")), consensus.FEEDBACK_CLASSES)
+    return consensus.reliability(confusion)
+
+
+def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
+    found = consensus.krippendorff_alpha(consensus.feedback_votes(table(spark, d, "human_feedback")))
+    return found.withColumn("alpha", F.round("alpha", 9))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = neighbors.exemplar_neighbors(table(spark, d, "golden_query_embeddings"), table(spark, d, "paper_text_embeddings"), 10, 0.9)
+    return found.select("example_id", "paper_id")
+
+
+def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.exemplar_neighbors(table(spark, d, "golden_query_embeddings"), table(spark, d, "paper_text_embeddings"), 10)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_messages(spark: SparkSession, d: str) -> DataFrame:
+    return residue.recurring(residue.classified_messages(table(spark, d, "documents"))).where("recurs")
+
+
 P1_SQL = r"""
 WITH places AS (
   SELECT coalesce(nullif(regexp_replace(lower(query_key), '^\s+|\s+$', '', 'g'), ''),
@@ -67,14 +109,67 @@ HAVING sum(len(regexp_extract_all(replace(coalesce(text, ''), chr(0), ''),
 """
 
 
+P4_AGREEMENT_SQL = r"""
+WITH words AS (
+  SELECT query_id, feedback_item_id AS item, id, updated_at,
+         nullif(regexp_replace(lower(split_part(reviewer_username, '@', 1)), '[^\p{L}\p{N}]+', '', 'g'), '') AS rater,
+         CASE WHEN feedback_item_id = 'query_relevance' THEN 'query_relevance' WHEN feedback_item_id = 'human_like' THEN 'human_like'
+              WHEN regexp_matches(feedback_item_id, '^cand_[0-9]+$') THEN 'candidate' END AS family,
+         trim(regexp_replace(lower(judgement), '[^\p{L}\p{N}]+', ' ', 'g')) AS w
+  FROM human_feedback WHERE query_id IS NOT NULL),
+read AS (SELECT *, CASE {cases} END AS label FROM words WHERE rater IS NOT NULL),
+votes AS (
+  SELECT query_id, item, rater, family, label FROM read WHERE label IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY query_id, item, rater, family ORDER BY updated_at DESC NULLS LAST, id DESC) = 1),
+per AS (SELECT family, query_id, item, label, count(*) AS n FROM votes GROUP BY ALL),
+units AS (SELECT family, query_id, item, sum(n) AS m, sum(n * n) AS same FROM per GROUP BY ALL HAVING sum(n) > 1),
+observed AS (SELECT family, sum(m) AS n, count(*) AS items, sum((m * m - same) / (m - 1)) AS disagree FROM units GROUP BY family),
+chance AS (
+  SELECT family, sum(n * n) AS same FROM (SELECT family, label, sum(n) AS n FROM per JOIN units USING (family, query_id, item) GROUP BY ALL) GROUP BY family)
+SELECT family, items, n::BIGINT AS votes,
+       round(1 - disagree / ((n::DOUBLE * n - same) / (n - 1)), 9) AS alpha
+FROM observed JOIN chance USING (family)
+"""
+
+P5_SQL = """
+WITH q AS (SELECT DISTINCT example_id, embedding::DOUBLE[] AS e FROM golden_query_embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64
+             AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+p AS (SELECT paper_id, embedding::DOUBLE[] AS e FROM paper_text_embeddings
+      WHERE model_name = 'pebble-embed-v2' AND len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64
+        AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+s AS (SELECT example_id, paper_id, max(list_cosine_similarity(q.e, p.e)) AS s FROM q, p GROUP BY ALL)
+SELECT example_id, paper_id FROM s WHERE s >= 0.9
+QUALIFY row_number() OVER (PARTITION BY example_id ORDER BY s DESC, paper_id) <= 10
+"""
+
+
+def _agreement_sql() -> str:
+    cases = " ".join(
+        f"WHEN family = '{family}' AND w IN ({', '.join(repr(f) for f in forms)}) THEN '{label}'"
+        for family, labels in consensus.SYNONYMS.items()
+        for label, forms in labels.items()
+    )
+    return P4_AGREEMENT_SQL.replace("{cases}", cases)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_best_records": p1_best_records,
+        "p2_found": p2_found,
+        "p2_matches": p2_matches,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
+        "p4_found": p4_found,
+        "p4_reliability": p4_reliability,
+        "p4_agreement": p4_agreement,
+        "p5_found": p5_found,
+        "p5_neighbors": p5_neighbors,
+        "p8_found": p8_found,
+        "p8_messages": p8_messages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_agreement": _agreement_sql(), "p5_found": P5_SQL}
