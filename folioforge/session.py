@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +27,29 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "fol
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; only where none is set, as in tests, choose a folder."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioforge-ckpt-"))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder: it survives the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; only where none is set, as in tests, a new one."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioforge-ckpt-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
+def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    The table survives the loss of any executor. Unlike a checkpoint it doesn't carry the
+    estimated size of the plan behind it, which in a loop of joins grows beyond bounds.
+    ``replaces`` is an earlier result that nothing reads any more; its files are deleted.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/folioforge-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._folioforge_path = path  # type: ignore[attr-defined]
+    if replaces is not None and (old := getattr(replaces, "_folioforge_path", None)):
+        jvm = spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(old)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return back
