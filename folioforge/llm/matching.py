@@ -253,7 +253,7 @@ def propagate(pairs: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERAN
         before = sigma(F.col("prior") + F.col("from_l") + F.col("from_r"))
         x = x.select("lid", "rid", "code", "prior", before.alias("before"),
                      (0.5 * F.col("from_l") + 0.5 * new_l).alias("from_l"), (0.5 * F.col("from_r") + 0.5 * new_r).alias("from_r"))
-        state = cut_lineage(x)
+        state = cut_lineage(x, replaces=state)
         moved = state.agg(F.max(F.abs(sigma(F.col("prior") + F.col("from_l") + F.col("from_r")) - F.col("before")))).first()[0]
         if moved is None or moved < tolerance:
             break
