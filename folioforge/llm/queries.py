@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import consensus, matching, neighbors, residue, splitting, survivor
+from folioforge.llm import consensus, matching, mixing, neighbors, packing, residue, splitting, survivor
 from folioforge.sources import table
 
 
@@ -64,6 +64,24 @@ def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.exemplar_neighbors(table(spark, d, "golden_query_embeddings"), table(spark, d, "paper_text_embeddings"), 10)
 
 
+def p6_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return packing.document_sequences(table(spark, d, "documents"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(packing.document_sequences(table(spark, d, "documents")))
+
+
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    selection, _ = mixing.document_mix(table(spark, d, "documents"), table(spark, d, "source_weights"))
+    return selection
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    _, report = mixing.document_mix(table(spark, d, "documents"), table(spark, d, "source_weights"))
+    return report
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(table(spark, d, "documents")).select("doc_id")
 
@@ -166,6 +184,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_agreement": p4_agreement,
         "p5_found": p5_found,
         "p5_neighbors": p5_neighbors,
+        "p6_sequences": p6_sequences,
+        "p6_fill": p6_fill,
+        "p7_selection": p7_selection,
+        "p7_shares": p7_shares,
         "p8_found": p8_found,
         "p8_messages": p8_messages,
     }
