@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("retrieval", "textual")
+
 Plan = Callable[[SparkSession, str], DataFrame]
 
 _PLANS: dict[str, Plan] = {}
@@ -28,6 +31,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 def _load() -> None:
     """Import the modules that register queries."""
+    for module in MODULES:
+        importlib.import_module(f"folioforge.plans.{module}")
 
 
 def queries() -> dict[str, Plan]:
