@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("retrieval", "textual")
+MODULES = ("retrieval", "textual", "tables")
 
 Plan = Callable[[SparkSession, str], DataFrame]
 

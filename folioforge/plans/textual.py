@@ -50,7 +50,7 @@ def pattern_density(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("pf17_char_limit", """
-SELECT doc_id, len(substr(text, 1, lim)) AS kept, doc_kind FROM documents JOIN (VALUES ('abstract', 300), ('review', 512), ('section', 1024)) p(kind, lim) ON doc_kind = kind""")
+SELECT doc_id, len(substr(text, 1, lim))::INTEGER AS kept, doc_kind FROM documents JOIN (VALUES ('abstract', 300), ('review', 512), ('section', 1024)) p(kind, lim) ON doc_kind = kind""")
 def char_limit(spark: SparkSession, d: str) -> DataFrame:
     policy = spark.createDataFrame([("abstract", 300), ("review", 512), ("section", 1024)], "doc_kind string, lim int")
     return _docs(spark, d).join(F.broadcast(policy), "doc_kind").select("doc_id", F.length(F.substring("text", F.lit(1), F.col("lim"))).alias("kept"), "doc_kind")

@@ -36,6 +36,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path for files within the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/folioforge-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
@@ -44,7 +49,7 @@ def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     ``replaces`` is an earlier result that nothing reads any more; its files are deleted.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/folioforge-{uuid.uuid4().hex}"
+    path = shared_folder(spark)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._folioforge_path = path  # type: ignore[attr-defined]
