@@ -54,7 +54,7 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int, normalise: bool = T
 
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+            return pd.DataFrame({"query_id": pd.Series(dtype=object), "item_id": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
         b = b.sort_values("item_id", kind="stable")
         s = matrix(a["vector"]) @ matrix(b["vector"]).T
         ids, qids = b["item_id"].to_numpy(), a["query_id"].to_numpy()
@@ -134,7 +134,8 @@ def dense_pooled_topk(queries: DataFrame, chunks: DataFrame, k: int, strategy: s
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "paper_id": [], "score": [], "hot": []}
         if a.empty or b.empty:
-            return pd.DataFrame(out)
+            kinds = {"query_id": object, "paper_id": object, "score": float, "hot": bool}
+            return pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in kinds.items()})
         b = b.sort_values("paper_id", kind="stable")
         scores = unit(a["vector"]) @ unit(b["vector"]).T
         papers = b["paper_id"].to_numpy()
