@@ -156,7 +156,8 @@ def nearest(
                     vectors.append(vector)
                     first.append(i)
                     cells.append(js)
-            yield pd.DataFrame({"query_id": ids, "vector": vectors, "i": np.array(first, np.int32), "cells": cells})
+            if ids:
+                yield pd.DataFrame({"query_id": ids, "vector": vectors, "i": np.array(first, np.int32), "cells": cells})
 
     visits = asked.dropDuplicates(["query_id", "vector"]).mapInPandas(visit, "query_id string, vector array<float>, i int, cells array<int>")
     asked_at = np.zeros(kc, np.int64)
@@ -173,7 +174,7 @@ def nearest(
     v = v.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("i", "part", "share", "query_id", "vector", "cells")
 
     def rerank(qs: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
+        empty = pd.DataFrame({"query_id": pd.Series(dtype=object), "item_id": pd.Series(dtype=object), "similarity": pd.Series(dtype=float)})
         if qs.empty or items.empty:
             return empty
         items = items.sort_values("j", kind="stable")
