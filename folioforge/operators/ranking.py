@@ -81,29 +81,62 @@ def postings(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
     return x.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """The ``k`` best documents of each query by BM25; see ``bm25_scores``."""
-    return ranked(bm25_scores(queries, docs, k1, b), k)
-
-
-def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """BM25 scores for queries (query_id, text) over docs (item_id, text).
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, decimals: int | None = None) -> DataFrame:
+    """BM25 top ``k`` for queries (query_id, text) over docs (item_id, text).
 
     Tokens are lower-case [a-z0-9] runs; a query term counts as often as it occurs. Only
-    documents that share a term with a query are scored. The query terms restrict the
-    postings before the frequencies are counted. Null texts have no tokens.
+    documents that share a term with a query are scored. Postings are cut to the queries'
+    terms before anything is shuffled; blocks of documents and of queries of bounded size
+    meet in one task each, add up scores term by term and pass on k rows a query, so that
+    the postings of frequent terms are never paired with queries as rows. ``decimals``
+    rounds the scores before they are compared. Null texts have no tokens.
     """
     d = docs.select("item_id", text.alnum_tokens(F.col("text")).alias("tokens"))
     n, avgdl = d.agg(F.count("*"), F.avg(F.size("tokens"))).first()
     q = queries.select("query_id", F.explode(text.alnum_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = q.select("term").distinct()
-    p = d.select(F.col("item_id"), F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    p = p.groupBy("term", "item_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    p = d.select("item_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    p = p.groupBy("item_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = p.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") / (F.col("tf") + F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    hits = q.join(df, "term").join(p, "term")
-    return hits.groupBy("query_id", "item_id").agg(F.sum(F.col("qtf") * idf * weight).alias("score"))
+    q = q.join(df, "term").withColumn("weight", F.col("qtf") * F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = F.col("tf") / (F.col("tf") + F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
+    n_queries = queries.count()
+    q_blocks, x_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n // ITEM_BLOCK), min(docs.sparkSession.sparkContext.defaultParallelism, -(-n // 1000)))
+    x = p.select("item_id", "term", part.alias("part"), F.pmod(F.xxhash64("item_id"), F.lit(x_blocks)).cast("int").alias("xb"))
+    x = x.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    y = q.select("query_id", "term", "weight", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"))
+    y = y.withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(x_blocks - 1))))
+
+    def block(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or c.empty:
+            return pd.DataFrame({"query_id": pd.Series(dtype=object), "item_id": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
+        at, items = pd.factorize(c["item_id"], sort=True)
+        order = np.argsort(c["term"].to_numpy().astype(object), kind="stable")
+        terms, at, part = c["term"].to_numpy().astype(object)[order], at[order], c["part"].to_numpy()[order]
+        starts = np.flatnonzero(np.append(True, terms[1:] != terms[:-1]))
+        span = {t: (s, e) for t, s, e in zip(terms[starts], starts, np.append(starts[1:], len(terms)))}
+        ids, found, scores = [], [], []
+        for qid, rows in a.groupby("query_id", sort=False):
+            total = np.zeros(len(items))
+            for t, w in zip(rows["term"], rows["weight"]):
+                if t in span:
+                    s, e = span[t]
+                    total[at[s:e]] += w * part[s:e]  # an item has a term once
+            if decimals is not None:
+                total = total.round(decimals)
+            hit = np.flatnonzero(total > 0)
+            if len(hit) > k:
+                cut = -np.partition(-total[hit], k - 1)[k - 1]
+                hit = hit[total[hit] >= cut]  # ties at the cut go on to the ranking
+            ids += [qid] * len(hit)
+            found.append(hit)
+            scores.append(total[hit])
+        found = np.concatenate(found)
+        return pd.DataFrame({"query_id": pd.Series(ids, dtype=a["query_id"].dtype), "item_id": np.asarray(items)[found], "score": np.concatenate(scores)})
+
+    kinds = y.schema["query_id"].dataType.simpleString(), x.schema["item_id"].dataType.simpleString()
+    hits = y.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(block, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
+    return ranked(hits, k)
 
 
 def dense_pooled_topk(queries: DataFrame, chunks: DataFrame, k: int, strategy: str = "max", depth: int = 3, normalise: bool = True) -> DataFrame:

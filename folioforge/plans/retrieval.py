@@ -203,5 +203,4 @@ def bm25(spark: SparkSession, d: str) -> DataFrame:
     queries = table(spark, d, "golden_query_embeddings").select(F.col("example_id").alias("query_id"), F.col("query_text").alias("text")).dropDuplicates(["query_id"])
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
     # sums differ in the last bits with the order of addition, so ties are made at 8 decimals
-    scores = ranking.bm25_scores(queries, docs).withColumn("score", F.round("score", 8))
-    return ranking.ranked(scores, 20).withColumn("score", F.round("score", 6))
+    return ranking.bm25_topk(queries, docs, 20, decimals=8).withColumn("score", F.round("score", 6))
