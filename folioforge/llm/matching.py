@@ -30,6 +30,8 @@ from folioforge.session import cut_lineage
 ROUNDS, TOLERANCE = 12, 1e-3
 THRESHOLD = 0.5
 HOT_KEY, SALT_ROWS = 2_000, 1_000
+#: a listing with more keys than this must share two of them with a work
+FEW_KEYS = 8
 #: strength of the id factor: ids in a listing are sometimes wrong
 ID_WEIGHT = 0.3
 
@@ -51,8 +53,9 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
 
 
-def title_parts(raw: str | None) -> tuple[str, str, str, bool, list[str]]:
-    """(whole, rest after the first colon, name before it, cut short?, words), without spaces."""
+def title_parts(raw: str | None) -> tuple[str, str, str, bool, list[str], list[str]]:
+    """(whole, rest after the first colon, name before it, cut short?, words, words with hyphenated
+    compounds as one)."""
     text = html.unescape(html.unescape(raw or "")).replace("‐", "-").replace("–", "-").replace("—", "-").replace("：", ":")
     quotes = " \t\r\n\"'“”‘’​ "
     text, before, cut = text.strip(quotes), None, False
@@ -71,8 +74,9 @@ def title_parts(raw: str | None) -> tuple[str, str, str, bool, list[str]]:
         return [_ROMAN.get(w, w) if i else w for i, w in enumerate(found)]
 
     whole = words(text)
-    keys = sorted({w for w in whole if len(w) > 2 and w not in _STOP})
-    return "".join(whole), "".join(words(rest)) if colon else "", "".join(words(name)) if colon else "", cut, keys
+    keys = [w for w in whole if len(w) > 2 and w not in _STOP]
+    joined = [w for w in words(re.sub(r"(?<=\w)-(?=\w)", "", text)) if len(w) > 2 and w not in _STOP]
+    return "".join(whole), "".join(words(rest)) if colon else "", "".join(words(name)) if colon else "", cut, keys, joined
 
 
 def single_names(authors: object) -> list[str]:
@@ -110,7 +114,7 @@ def name_words(authors: object) -> list[str]:
     return sorted({w for raw in (authors if authors is not None else []) for w in re.findall(r"[a-z]+", fold(raw or "")) if len(w) > 1})
 
 
-_SIDE = "sid string, whole string, rest string, name string, cut boolean, words array<string>, surnames array<string>, people array<string>, code string, year int"
+_SIDE = "sid string, whole string, rest string, name string, cut boolean, words array<string>, joined array<string>, surnames array<string>, people array<string>, code string, year int"
 
 
 def normalised(df: DataFrame) -> DataFrame:
@@ -121,33 +125,50 @@ def normalised(df: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for sid, title, authors, year, ids in zip(pdf["sid"], pdf["title"], pdf["authors"], pdf["year"], pdf["ids"]):
-                whole, rest, name, cut, words = title_parts(title)
+                whole, rest, name, cut, words, joined = title_parts(title)
                 code = _ID.search(ids or "")
                 year = int(year) if year == year and year is not None and 1900 < year < 2100 else None
-                out.append((sid, whole, rest, name, cut, words, surnames(authors), name_words(authors), code.group(1) if code else None, year))
+                out.append((sid, whole, rest, name, cut, words, joined, surnames(authors), name_words(authors), code.group(1) if code else None, year))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in _SIDE.split(", ")])
             yield frame.astype({"year": "Int32"})
 
     return df.select(F.col("sid").cast("string").alias("sid"), "title", "authors", F.col("year").cast("double").alias("year"), "ids").mapInPandas(run, _SIDE)
 
 
-def block_keys(side: DataFrame) -> DataFrame:
-    """(sid, key): surname x title word, whole title, part after the colon, catalogue id."""
-    pairs = F.flatten(F.transform("surnames", lambda s: F.transform("words", lambda w: F.concat(F.lit("s:"), s, F.lit("|"), w))))
-    whole = F.when(F.length("whole") > 0, F.array(F.concat(F.lit("t:"), "whole"))).otherwise(F.array().cast("array<string>"))
-    rest = F.when(F.length("rest") > 0, F.array(F.concat(F.lit("t:"), "rest"))).otherwise(F.array().cast("array<string>"))
-    code = F.when(F.col("code").isNotNull(), F.array(F.concat(F.lit("c:"), "code"))).otherwise(F.array().cast("array<string>"))
-    return side.select("sid", F.explode(F.array_distinct(F.concat(pairs, whole, rest, code))).alias("key")).select("sid", F.xxhash64("key").alias("key"))
+def block_keys(side: DataFrame, titles_without_names_only: bool = False) -> DataFrame:
+    """(sid, key): surname x two neighbouring title words (the next or the one after it), surname
+    x whole title, name and rest; whole title and rest alone; catalogue id.
+
+    One common key makes a pair a candidate. Two words and a surname stay selective when
+    vocabulary and name pool don't grow with the data. With ``titles_without_names_only``
+    title-only keys are given to rows without a surname alone, as on one side they suffice.
+    """
+    empty = F.array().cast("array<string>")
+
+    def near(words: str) -> Column:
+        pairs = F.transform(words, lambda w, i: F.transform(F.slice(words, i + 2, 2), lambda v: F.concat_ws("|", F.least(w, v), F.greatest(w, v))))
+        return F.when(F.size(words) > 1, F.flatten(pairs)).otherwise(empty)
+
+    spans = F.array_distinct(F.filter(F.array("whole", "name", "rest"), lambda t: F.length(t) > 0))
+    both = F.array_distinct(F.concat(near("words"), near("joined"), spans))
+    named = F.flatten(F.transform("surnames", lambda s: F.transform(both, lambda w: F.concat(F.lit("s:"), s, F.lit("|"), w))))
+    titles = F.transform(F.filter(F.array_distinct(F.array("whole", "rest")), lambda t: F.length(t) > 0), lambda t: F.concat(F.lit("t:"), t))
+    if titles_without_names_only:
+        titles = F.when(F.size("surnames") == 0, titles).otherwise(empty)
+    code = F.when(F.col("code").isNotNull(), F.array(F.concat(F.lit("c:"), "code"))).otherwise(empty)
+    return side.select("sid", F.explode(F.array_distinct(F.concat(named, titles, code))).alias("key")).select("sid", F.xxhash64("key").alias("key"))
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (lid, rid) that share a key. Keys with more than ``HOT_KEY`` rows on the left are
+    """Distinct (lid, rid) that share two keys, or one if the listing has few keys. Keys with more than ``HOT_KEY`` rows on the left are
     salted there by id hash and the right side is replicated, so a hot key spreads over tasks."""
-    lk, rk = block_keys(left).withColumnRenamed("sid", "lid"), block_keys(right).withColumnRenamed("sid", "rid")
+    lk, rk = block_keys(left, titles_without_names_only=True).withColumnRenamed("sid", "lid"), block_keys(right).withColumnRenamed("sid", "rid")
     hot = lk.groupBy("key").count().where(F.col("count") > HOT_KEY).select("key", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
+    lk = lk.withColumn("need", F.when(F.count("*").over(Window.partitionBy("lid")) > FEW_KEYS, 2).otherwise(1))
     lk = lk.join(hot, "key", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("lid"), F.col("salts")).cast("int")))
     rk = rk.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    return lk.select("key", "salt", "lid").join(rk.select("key", "salt", "rid"), ["key", "salt"]).select("lid", "rid").distinct()
+    hits = lk.select("key", "salt", "lid", "need").join(rk.select("key", "salt", "rid"), ["key", "salt"])
+    return hits.groupBy("lid", "rid").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("lid", "rid")
 
 
 def _digits(x: Column) -> Column:
@@ -173,9 +194,11 @@ def title_edits(x: DataFrame) -> DataFrame:
         near = [edits(mine, F.substring(other, F.lit(1), n + k)) for k in (0, 1, -1)]
         return F.when(F.col("l_cut") & (n >= 5) & (F.length(other) >= 12), F.least(*near)).otherwise(99)
 
+    x = staged(x, d_whole=F.when(n > 0, edits(mine, F.col("r_whole"))).otherwise(99))
+    # a reading that costs at most one edit can't be beaten by the weaker ones
+    x = x.withColumn("l_cut", F.col("l_cut") & (F.col("d_whole") > 1))
     return staged(
         x,
-        d_whole=F.when(n > 0, edits(mine, F.col("r_whole"))).otherwise(99),
         d_rest=F.when(F.length("r_rest") >= 12, edits(mine, F.col("r_rest"))).otherwise(99),
         d_name=F.when(F.length("r_name") >= 5, edits(mine, F.col("r_name"))).otherwise(99),
         d_begun=begun("r_whole"),
@@ -201,15 +224,21 @@ def title_evidence() -> Column:
 def pair_evidence(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(lid, rid, code, prior): prior log odds of each pair; hopeless pairs (under -4) are left out,
     as no message can raise them."""
-    x = pairs.join(left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]), F.col("lid") == F.col("l_sid"))
-    x = x.join(right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), F.col("rid") == F.col("r_sid"))
+    own = ("sid", "whole", "cut", "surnames", "code", "year")
+    theirs = ("sid", "whole", "rest", "name", "people", "code", "year")
+    x = pairs.join(left.select(*[F.col(c).alias(f"l_{c}") for c in own]), F.col("lid") == F.col("l_sid"))
+    x = x.join(right.select(*[F.col(c).alias(f"r_{c}") for c in theirs]), F.col("rid") == F.col("r_sid"))
+    # most pairs share one of several names and end here, before any title is compared
+    named = F.size("l_surnames")
+    x = staged(x, hits=F.size(F.array_intersect("l_surnames", "r_people")))
+    unknown = (named == 0) | (F.size("r_people") == 0)
+    x = x.where(unknown | (F.col("hits") >= 0.34 * named) | (F.col("l_code") == F.col("r_code")))
     x = title_edits(x)
     x = staged(x, title=title_evidence()).where("title > -12")
-    named = F.size("l_surnames")
-    hits = F.size(F.array_intersect("l_surnames", "r_people"))
+    hits = F.col("hits")
     share = hits / named
     people = (
-        F.when((named == 0) | (F.size("r_people") == 0), -0.3)
+        F.when(unknown, -0.3)
         .when(share >= 0.99, 3.0 + 0.5 * F.least(hits, F.lit(3)))
         .when(share >= 0.6, 1.0)
         .when(share >= 0.34, -3.0)
