@@ -20,3 +20,10 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
 
 def columns_of(df: DataFrame, names: list[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for heavy work a row: a small
+    file is one partition. Frames that have enough are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
