@@ -136,7 +136,7 @@ def normalised(df: DataFrame) -> DataFrame:
 
 
 def block_keys(side: DataFrame, titles_without_names_only: bool = False) -> DataFrame:
-    """(sid, key): surname x two neighbouring title words (the next or the one after it), surname
+    """(sid, n_keys, key): surname x two neighbouring title words (the next or the one after it), surname
     x whole title, name and rest; whole title and rest alone; catalogue id.
 
     One common key makes a pair a candidate. Two words and a surname stay selective when
@@ -156,15 +156,16 @@ def block_keys(side: DataFrame, titles_without_names_only: bool = False) -> Data
     if titles_without_names_only:
         titles = F.when(F.size("surnames") == 0, titles).otherwise(empty)
     code = F.when(F.col("code").isNotNull(), F.array(F.concat(F.lit("c:"), "code"))).otherwise(empty)
-    return side.select("sid", F.explode(F.array_distinct(F.concat(named, titles, code))).alias("key")).select("sid", F.xxhash64("key").alias("key"))
+    x = side.select("sid", F.array_distinct(F.concat(named, titles, code)).alias("all"))
+    return x.select("sid", F.size("all").alias("n_keys"), F.explode("all").alias("key")).withColumn("key", F.xxhash64("key"))
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct (lid, rid) that share two keys, or one if the listing has few keys. Keys with more than ``HOT_KEY`` rows on the left are
     salted there by id hash and the right side is replicated, so a hot key spreads over tasks."""
-    lk, rk = block_keys(left, titles_without_names_only=True).withColumnRenamed("sid", "lid"), block_keys(right).withColumnRenamed("sid", "rid")
+    lk, rk = block_keys(left, titles_without_names_only=True).withColumnRenamed("sid", "lid"), block_keys(right).drop("n_keys").withColumnRenamed("sid", "rid")
     hot = lk.groupBy("key").count().where(F.col("count") > HOT_KEY).select("key", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
-    lk = lk.withColumn("need", F.when(F.count("*").over(Window.partitionBy("lid")) > FEW_KEYS, 2).otherwise(1))
+    lk = lk.withColumn("need", F.when(F.col("n_keys") > FEW_KEYS, 2).otherwise(1))
     lk = lk.join(hot, "key", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("lid"), F.col("salts")).cast("int")))
     rk = rk.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
     hits = lk.select("key", "salt", "lid", "need").join(rk.select("key", "salt", "rid"), ["key", "salt"])
@@ -301,16 +302,16 @@ def match(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> Da
     fields = [c for c in l_all.columns if c != "sid"]
     lsig = F.xxhash64(*fields)
     l_all = l_all.withColumn("sig", lsig).persist()
-    one = l_all.groupBy("sig").agg(F.min(F.struct("sid", *fields)).alias("x")).select(F.col("sig").cast("string").alias("sid"), *[F.col(f"x.{c}").alias(c) for c in fields])
+    one = l_all.groupBy("sig").agg(F.min(F.struct("sid", *fields)).alias("x")).select(F.col("sig").alias("sid"), *[F.col(f"x.{c}").alias(c) for c in fields])
     r_all = normalised(right.where("sid IS NOT NULL")).dropDuplicates()
-    r_all = r_all.withColumn("key", F.xxhash64(*r_all.columns).cast("string"))
+    r_all = r_all.withColumn("key", F.xxhash64(*r_all.columns))
     r_one = r_all.withColumnRenamed("sid", "rid_true").withColumnRenamed("key", "sid")
     scored = pair_evidence(candidate_pairs(one, r_one), one, r_one.drop("rid_true"))
     scored = scored.join(r_one.select(F.col("sid").alias("rid"), "rid_true"), "rid").groupBy("lid", F.col("rid_true").alias("rid")).agg(
         F.max("code").alias("code"), F.max("prior").alias("prior")
     )
     found = propagate(scored).where(F.col("confidence") >= threshold)
-    back = l_all.select(F.col("sig").cast("string").alias("lid"), F.col("sid").alias("listing")).distinct()
+    back = l_all.select(F.col("sig").alias("lid"), F.col("sid").alias("listing")).distinct()
     return found.join(back, "lid").select(F.col("listing").alias("lid"), "rid", "confidence")
 
 
