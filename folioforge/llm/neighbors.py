@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_ROWS = 20_000
-CANDIDATES = 3000
+CANDIDATES = 5000
 PART_ROWS, SHARE_ROWS = 8_000, 20_000
 MAX_CENTROIDS = 512
 
@@ -38,8 +38,8 @@ def usable(vector: Column, dim: int) -> Column:
 
 
 def centroids_for(rows: int) -> int:
-    """Centroids a half: a power of two near half the root of the rows, 8 to 512."""
-    return int(min(MAX_CENTROIDS, max(8, 2 ** round(np.log2(max(rows, 1) ** 0.5 / 2)))))
+    """Centroids a half: a power of two near a quarter of the root of the rows, 8 to 512."""
+    return int(min(MAX_CENTROIDS, max(8, 2 ** round(np.log2(max(rows, 1) ** 0.5 / 4)))))
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:

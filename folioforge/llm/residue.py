@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions.staging import spread
+
 MIN_DOCS, MIN_SOURCES = 3, 2
 
 # --- fixed values: wordings ---------------------------------------------------------------
@@ -297,7 +299,7 @@ def classify(raw: Column, masked: Column) -> Column:
 
 def classified_messages(docs: DataFrame) -> DataFrame:
     """doc_id, source, message hash, masked message and class, for messages with a class."""
-    x = messages(docs, ("doc_id", F.lower(F.regexp_replace(F.trim(F.coalesce("source", F.lit(""))), "[-_ ]+", "_")).alias("source")))
+    x = messages(spread(docs.select("doc_id", "text", "source")), ("doc_id", F.lower(F.regexp_replace(F.trim(F.coalesce("source", F.lit(""))), "[-_ ]+", "_")).alias("source")))
     x = x.withColumn("kind", F.explode(F.array(classify(F.col("raw"), F.col("mask"))))).where("kind IS NOT NULL")
     return x.select("doc_id", "source", F.xxhash64("mask").alias("message"), "mask", "kind")
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions.staging import spread
+
 LIMIT, OVERLAP = 512, 128
 BLOCK_TOKENS = 1 << 18
 GRID = 1024
@@ -146,7 +148,7 @@ def row_profiles(rows: DataFrame) -> DataFrame:
     64-bit ``text_hash`` in place of the text. Null texts count as empty."""
     x = rows.select("item_kind", "item_id", "part", "row_no", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     schema = "item_kind string, item_id string, part string, row_no int, text_hash long, n_tokens long, marks binary"
-    return x.mapInPandas(_profile, schema)
+    return spread(x).mapInPandas(_profile, schema)
 
 
 def placed_rows(profiles: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from folioforge.functions.staging import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: how byte-level BPE vocabularies of this family split text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -64,4 +66,4 @@ def with_token_counts(df: DataFrame, text: str = "text", path: str = VOCABULARY)
 
     rest = [f for f in df.schema.fields if f.name != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", n_tokens long"
-    return df.mapInPandas(run, schema)
+    return spread(df).mapInPandas(run, schema)
