@@ -304,7 +304,7 @@ def match(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> Da
     l_all = l_all.withColumn("sig", lsig).persist()
     one = l_all.groupBy("sig").agg(F.min(F.struct("sid", *fields)).alias("x")).select(F.col("sig").alias("sid"), *[F.col(f"x.{c}").alias(c) for c in fields])
     r_all = normalised(right.where("sid IS NOT NULL")).dropDuplicates()
-    r_all = r_all.withColumn("key", F.xxhash64(*r_all.columns))
+    r_all = r_all.withColumn("key", F.xxhash64(*r_all.columns)).persist()
     r_one = r_all.withColumnRenamed("sid", "rid_true").withColumnRenamed("key", "sid")
     scored = pair_evidence(candidate_pairs(one, r_one), one, r_one.drop("rid_true"))
     scored = scored.join(r_one.select(F.col("sid").alias("rid"), "rid_true"), "rid").groupBy("lid", F.col("rid_true").alias("rid")).agg(
