@@ -90,3 +90,54 @@ def planar(points: DataFrame, vector: str, keep: Sequence[str]) -> DataFrame:
     v = points.select(*keep, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
     out = PCA(k=2, inputCol="_v", outputCol="_p").fit(v).transform(v).withColumn("_p", vector_to_array("_p"))
     return out.select(*keep, F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y"))
+
+
+def banner_text(rows: DataFrame, group: str, section: str, text: str, order: str) -> DataFrame:
+    """One text a group: its sections in first-seen order, each under a banner with its entries in
+    order; blank entries are left out."""
+    x = rows.where(F.length(F.trim(F.col(text))) > 0)
+    per = x.groupBy(group, section).agg(F.min(order).alias("_at"), F.array_sort(F.collect_list(F.struct(order, text))).alias("_e"))
+    body = F.concat(F.lit("=== "), F.col(section), F.lit(" ===\n"), F.array_join(F.transform("_e", lambda e: e[text]), "\n"))
+    per = per.select(group, "_at", section, body.alias("_t"))
+    return per.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", section, "_t"))), lambda s: s["_t"]), "\n\n").alias("content"))
+
+
+def compact_json(columns: Sequence[str]) -> Column:
+    """The named columns as JSON without nulls, blank strings and empty arrays."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
+
+
+def enqueued(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Candidates as new queue rows: candidate_key, pending statuses; one row a key."""
+    from folioforge.functions.keys import candidate_key
+    from folioforge.operators.dedupe import keep_first
+
+    x = candidates.withColumn("candidate_key", candidate_key(F.col("query_key"), F.col("title"), F.col("arxiv_id"), F.col("url")))
+    x = keep_first(x, ["candidate_key"], list(keys))
+    return x.withColumn("parse_status", F.lit("pending")).withColumn("review_status", F.lit("pending"))
+
+
+#: fixed values: heading words that end or open sections
+REFERENCE_HEADINGS = ("references", "bibliography", "works cited", "literature cited")
+
+
+def is_reference_heading(line: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(line)), r"^[#\d. ]+", "").isin(*REFERENCE_HEADINGS)
+
+
+def is_appendix_heading(line: Column) -> Column:
+    return F.lower(F.trim(line)).rlike(r"^[#\d. ]*(appendix|appendices|supplementary material)\b")
+
+
+def is_noise(line: Column) -> Column:
+    """Blank, or fewer letters than other characters that aren't white space."""
+    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
+    ink = F.length(F.regexp_replace(line, r"\s", ""))
+    return F.coalesce((ink == 0) | (letters * 2 < ink), F.lit(True))
+
+
+def before_references(text: Column) -> Column:
+    """The lines of a document before its first reference heading."""
+    lines = F.split(text, "\n")
+    at = F.array_position(F.transform(lines, is_reference_heading), True)
+    return F.array_join(F.when(at > 0, F.slice(lines, F.lit(1), (at - 1).cast("int"))).otherwise(lines), "\n")

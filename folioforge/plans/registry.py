@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("retrieval", "textual", "tables", "shaping")
+MODULES = ("retrieval", "textual", "tables", "shaping", "inventory")
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
