@@ -24,6 +24,9 @@ def columns_of(df: DataFrame, names: list[str]) -> list[Column]:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for heavy work a row: a small
-    file is one partition. Frames that have enough are left as they are."""
+    file is one partition. Frames that have enough are left as they are, and so are those
+    with a shuffle, whose partitions are only known once it has run."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

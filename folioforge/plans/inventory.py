@@ -82,7 +82,7 @@ def distinct_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s25_banner_texts", """
 WITH e AS (SELECT paper_id, doc_kind, min(doc_id) AS pos, '=== ' || doc_kind || ' ===' || chr(10) || string_agg(source, chr(10) ORDER BY doc_id) AS t
-           FROM documents WHERE paper_id IS NOT NULL AND length(trim(source)) > 0 GROUP BY ALL)
+           FROM documents WHERE paper_id IS NOT NULL AND length(trim(source)) > 0 GROUP BY paper_id, doc_kind)
 SELECT paper_id, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS content FROM e GROUP BY paper_id""")
 def banner_texts(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").where("paper_id IS NOT NULL")
