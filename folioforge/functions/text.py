@@ -20,6 +20,9 @@ EVIDENCE_REF = (
     r"(?i)\b(fig(?:ure)?s?|tables?|eq(?:uation)?s?|alg(?:orithm)?s?)\.?\s*(?:\(?\s*)"
     "([A-Za-z]?\\d+(?:\\.\\d+)?(?:\\s*(?:-|–|—|to|and|,)\\s*[A-Za-z]?\\d+(?:\\.\\d+)?)*)\\s*\\)?"
 )
+#: fixed values: label and appendix mentions that don't belong in a query
+LABEL_MENTION = r"(?i)\b(?:fig(?:ure)?|table|eq(?:uation)?|alg(?:orithm)?)\.?\s*\(?\s*[A-Za-z]?\d+(?:\.\d+)?\s*\)?"
+APPENDIX_MENTION = r"(?i)\bappendix\b\s*[A-Za-z0-9. -]*"
 #: fixed values: words that make an evidence mention a discussion
 DISCUSSION_TERMS = (
     "ablation", "analysis", "analyze", "baseline", "comparison", "compare", "concern", "contradict", "evidence", "experiment", "fail",
@@ -132,8 +135,7 @@ def cleaned_query(x: Column) -> Column:
     """Query text without the modality mark, evidence labels and appendix references; spaces
     collapsed and none before punctuation."""
     t = F.trim(F.replace(x, F.lit("(multimodal)"), F.lit("")))
-    t = F.regexp_replace(t, r"(?i)\b(?:fig(?:ure)?|table|eq(?:uation)?|alg(?:orithm)?)\.?\s*\(?\s*[A-Za-z]?\d+(?:\.\d+)?\s*\)?", "")
-    t = F.regexp_replace(t, r"(?i)\bappendix\b\s*[A-Za-z0-9. -]*", "")
+    t = F.regexp_replace(F.regexp_replace(t, LABEL_MENTION, ""), APPENDIX_MENTION, "")
     t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"\s+([?.!,])", "$1")
     return F.trim(t)
 
