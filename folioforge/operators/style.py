@@ -116,8 +116,7 @@ def histogram(df: DataFrame, group: str, value: Column) -> DataFrame:
     x = df.select(F.col(group), value.cast("long").alias("bin")).where("bin IS NOT NULL")
     n = x.groupBy(group, "bin").agg(F.count("*").alias("n"))
     ends = n.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).where("lo IS NOT NULL")
-    bins = ends.select(F.explode(F.sequence("lo", "hi")).alias("bin"))
-    frame = n.select(group).distinct().crossJoin(F.broadcast(bins))  # groups x bins is the result itself
+    frame = n.select(group).distinct().crossJoin(F.broadcast(ends)).select(group, F.explode(F.sequence("lo", "hi")).alias("bin"))  # one row
     return frame.join(n, [group, "bin"], "left").select(group, "bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
