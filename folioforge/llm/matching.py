@@ -136,7 +136,7 @@ def normalised(df: DataFrame) -> DataFrame:
 
 
 def block_keys(side: DataFrame, titles_without_names_only: bool = False) -> DataFrame:
-    """(sid, n_keys, key): surname x two neighbouring title words (the next or the one after it), surname
+    """(sid, n_names, n_keys, name, key): surname x two neighbouring title words (the next or the one after it), surname
     x whole title, name and rest; whole title and rest alone; catalogue id.
 
     One common key makes a pair a candidate. Two words and a surname stay selective when
@@ -156,20 +156,27 @@ def block_keys(side: DataFrame, titles_without_names_only: bool = False) -> Data
     if titles_without_names_only:
         titles = F.when(F.size("surnames") == 0, titles).otherwise(empty)
     code = F.when(F.col("code").isNotNull(), F.array(F.concat(F.lit("c:"), "code"))).otherwise(empty)
-    x = side.select("sid", F.array_distinct(F.concat(named, titles, code)).alias("all"))
-    return x.select("sid", F.size("all").alias("n_keys"), F.explode("all").alias("key")).withColumn("key", F.xxhash64("key"))
+    x = side.select("sid", F.size("surnames").alias("n_names"), F.array_distinct(F.concat(named, titles, code)).alias("all"))
+    x = x.select("sid", "n_names", F.size("all").alias("n_keys"), F.explode("all").alias("key"))
+    name = F.when(F.col("key").startswith("s:"), F.hash(F.substring_index("key", "|", 1)))
+    return x.select("sid", "n_names", "n_keys", name.alias("name"), F.xxhash64("key").alias("key"))
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (lid, rid) that share two keys, or one if the listing has few keys. Keys with more than ``HOT_KEY`` rows on the left are
+    """Distinct (lid, rid) that share two keys (one if the listing has few) and, for listings of
+    three and more names, two names, as scoring asks for; a title or id key alone will do. Keys with more than ``HOT_KEY`` rows on the left are
     salted there by id hash and the right side is replicated, so a hot key spreads over tasks."""
-    lk, rk = block_keys(left, titles_without_names_only=True).withColumnRenamed("sid", "lid"), block_keys(right).drop("n_keys").withColumnRenamed("sid", "rid")
+    lk, rk = block_keys(left, titles_without_names_only=True).withColumnRenamed("sid", "lid"), block_keys(right).select(F.col("sid").alias("rid"), "key")
     hot = lk.groupBy("key").count().where(F.col("count") > HOT_KEY).select("key", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
     lk = lk.withColumn("need", F.when(F.col("n_keys") > FEW_KEYS, 2).otherwise(1))
     lk = lk.join(hot, "key", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("lid"), F.col("salts")).cast("int")))
     rk = rk.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    hits = lk.select("key", "salt", "lid", "need").join(rk.select("key", "salt", "rid"), ["key", "salt"])
-    return hits.groupBy("lid", "rid").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("lid", "rid")
+    lk = lk.withColumn("several", F.col("n_names") >= 3)
+    hits = lk.select("key", "salt", "lid", "need", "several", "name").join(rk.select("key", "salt", "rid"), ["key", "salt"])
+    both = hits.groupBy("lid", "rid").agg(
+        F.count("*").alias("n"), F.count("name").alias("by_name"), F.max("need").alias("need"), F.max("several").alias("several"), F.min("name").alias("a"), F.max("name").alias("b")
+    )
+    return both.where("n > by_name OR (n >= need AND (NOT several OR a <> b))").select("lid", "rid")
 
 
 def _digits(x: Column) -> Column:
