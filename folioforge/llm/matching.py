@@ -32,6 +32,9 @@ THRESHOLD = 0.5
 HOT_KEY, SALT_ROWS = 2_000, 1_000
 #: a listing with more keys than this must share two of them with a work
 FEW_KEYS = 8
+#: first letters that are a key beside a surname, the fewest of a cut title that scoring reads; and
+#: without names, where fewer are never enough evidence
+START, LONG_START = 5, 20
 #: strength of the id factor: ids in a listing are sometimes wrong
 ID_WEIGHT = 0.3
 
@@ -135,13 +138,16 @@ def normalised(df: DataFrame) -> DataFrame:
     return df.select(F.col("sid").cast("string").alias("sid"), "title", "authors", F.col("year").cast("double").alias("year"), "ids").mapInPandas(run, _SIDE)
 
 
-def block_keys(side: DataFrame, titles_without_names_only: bool = False) -> DataFrame:
-    """(sid, n_names, n_keys, name, key): surname x two neighbouring title words (the next or the one after it), surname
-    x whole title, name and rest; whole title and rest alone; catalogue id.
+def block_keys(side: DataFrame, listings: bool = False) -> DataFrame:
+    """(sid, n_names, n_keys, short, name, key): surname x two neighbouring title words (the next or the one after it), surname
+    x whole title, name and rest; whole title and rest alone; catalogue id. For short titles surname x single
+    title word and surname x first letters of title and rest; first letters of a long title alone.
 
     One common key makes a pair a candidate. Two words and a surname stay selective when
-    vocabulary and name pool don't grow with the data. With ``titles_without_names_only``
-    title-only keys are given to rows without a surname alone, as on one side they suffice.
+    vocabulary and name pool don't grow with the data. A listing that is cut short, or has fewer
+    than two usable words, may have no whole pair of words, so it gets the keys of short titles
+    as well; works have them all. Of ``listings`` title-only keys are given to rows without a
+    surname alone, as on one side they suffice.
     """
     empty = F.array().cast("array<string>")
 
@@ -153,22 +159,28 @@ def block_keys(side: DataFrame, titles_without_names_only: bool = False) -> Data
     both = F.array_distinct(F.concat(near("words"), near("joined"), spans))
     named = F.flatten(F.transform("surnames", lambda s: F.transform(both, lambda w: F.concat(F.lit("s:"), s, F.lit("|"), w))))
     titles = F.transform(F.filter(F.array_distinct(F.array("whole", "rest")), lambda t: F.length(t) > 0), lambda t: F.concat(F.lit("t:"), t))
-    if titles_without_names_only:
-        titles = F.when(F.size("surnames") == 0, titles).otherwise(empty)
+    starts = F.transform(F.filter(F.array("whole", "rest"), lambda t: F.length(t) >= START), lambda t: F.concat(F.lit("^"), F.substring(t, 1, START)))
+    single = F.concat(F.transform(F.array_union("words", "joined"), lambda w: F.concat(F.lit("w:"), w)), starts)
+    single = F.flatten(F.transform("surnames", lambda s: F.transform(single, lambda w: F.concat(F.lit("s:"), s, F.lit("|"), w))))
+    begun = F.when(F.length("whole") >= LONG_START, F.array(F.concat(F.lit("b:"), F.substring("whole", 1, LONG_START)))).otherwise(empty)
+    short = F.col("cut") | (F.size("words") < 2)
+    if listings:
+        single, begun = (F.when(short, x).otherwise(empty) for x in (single, begun))
+        titles, begun = (F.when(F.size("surnames") == 0, x).otherwise(empty) for x in (titles, begun))
     code = F.when(F.col("code").isNotNull(), F.array(F.concat(F.lit("c:"), "code"))).otherwise(empty)
-    x = side.select("sid", F.size("surnames").alias("n_names"), F.array_distinct(F.concat(named, titles, code)).alias("all"))
-    x = x.select("sid", "n_names", F.size("all").alias("n_keys"), F.explode("all").alias("key"))
+    x = side.select("sid", F.size("surnames").alias("n_names"), short.alias("short"), F.array_distinct(F.concat(named, titles, code, single, begun)).alias("all"))
+    x = x.select("sid", "n_names", "short", F.size("all").alias("n_keys"), F.explode("all").alias("key"))
     name = F.when(F.col("key").startswith("s:"), F.hash(F.substring_index("key", "|", 1)))
-    return x.select("sid", "n_names", "n_keys", name.alias("name"), F.xxhash64("key").alias("key"))
+    return x.select("sid", "n_names", "n_keys", "short", name.alias("name"), F.xxhash64("key").alias("key"))
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (lid, rid) that share two keys (one if the listing has few) and, for listings of
+    """Distinct (lid, rid) that share two keys (one if the listing has few or its title is short) and, for listings of
     three and more names, two names, as scoring asks for; a title or id key alone will do. Keys with more than ``HOT_KEY`` rows on the left are
     salted there by id hash and the right side is replicated, so a hot key spreads over tasks."""
-    lk, rk = block_keys(left, titles_without_names_only=True).withColumnRenamed("sid", "lid"), block_keys(right).select(F.col("sid").alias("rid"), "key")
+    lk, rk = block_keys(left, listings=True).withColumnRenamed("sid", "lid"), block_keys(right).select(F.col("sid").alias("rid"), "key")
     hot = lk.groupBy("key").count().where(F.col("count") > HOT_KEY).select("key", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
-    lk = lk.withColumn("need", F.when(F.col("n_keys") > FEW_KEYS, 2).otherwise(1))
+    lk = lk.withColumn("need", F.when((F.col("n_keys") > FEW_KEYS) & ~F.col("short"), 2).otherwise(1))
     lk = lk.join(hot, "key", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("lid"), F.col("salts")).cast("int")))
     rk = rk.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
     lk = lk.withColumn("several", F.col("n_names") >= 3)

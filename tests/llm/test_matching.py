@@ -72,3 +72,17 @@ def test_names_and_titles():
     assert M.surnames(["A. B. Carver", "Öhm, Dan", "lund k", "...", "et al."]) == ["carver", "lund", "ohm"]
     assert M.surnames(["V. Zalus, K. Skar, D. H. Zhal"]) == ["skar", "zalus", "zhal"] and M.surnames(None) == []
     assert M.title_parts("  “Name: A Title II…")[:4] == ("nameatitle2", "atitle2", "name", True) and M.title_parts(None)[0] == ""
+
+
+def test_cut_titles_with_one_whole_word_or_none(spark):
+    names = ["Ann B. Carver", "Dan Öhm", "Eve Fox"]
+    right = spark.createDataFrame([
+        ("p1", "On the Expressivity of Sparse Kernels", names, 2020, None), ("p2", "Generalization without Labels in Practice", ["Gil Hart"], 2021, None),
+        ("p3", "Alphanet: Transferability of Sparse Planners", ["Kim Lund"], 2022, None), ("p4", "Expressivity of Towers", ["Ida Jones"], 2020, None),
+    ], SCHEMA)
+    left = spark.createDataFrame([
+        ("1", "On the Expressivity of Sp…", ["A Carver", "D Öhm", "E Fox"], 2020, None), ("2", "Generaliz…", ["G. Hart"], 2021, None), ("3", "Transferab...", ["K. Lund"], 2022, None),
+        ("4", "On the Expressivity of Sparse K…", None, 2020, None), ("5", "On the Expressivity of Sp…", ["Zed Young"], 2020, None),
+    ], SCHEMA)
+    got = {(r.lid, r.rid) for r in M.match(left, right).collect()}
+    assert got == {("1", "p1"), ("2", "p2"), ("3", "p3"), ("4", "p1")}
