@@ -1,10 +1,12 @@
 """Most similar vectors for every query vector, by an inverted multi-index.
 
 Unit vectors are cut into two halves, and each half is quantised with its own centroids
-(fitted on a bounded sample; every row is indexed). A cell is a pair of centroids. For a
-query, cells are visited in order of the summed squared distance of the two halves to
-their centroids, drawn from a heap, until the visited cells hold ``candidates`` vectors;
-the vectors found are reranked by exact cosine in double precision.
+(fitted on a bounded sample; every distinct pair of item and vector is indexed). A cell is
+a pair of centroids. For a query, cells are visited in order of the summed squared distance
+of the two halves to their centroids, drawn from a heap, until the visited cells hold
+``candidates`` different items. With a least similarity there is no such budget: every
+cell that can hold a vector within the distance it allows is visited, so nothing is lost.
+The vectors found are reranked by exact cosine in double precision.
 
 Distribution: index rows and query visits meet on the first-half centroid. Centroids
 with many rows are split into numbered parts by id hash (queries go to every part), and
@@ -25,10 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioforge.session import cut_lineage
+
 SAMPLE_ROWS = 20_000
 CANDIDATES = 5000
 PART_ROWS, SHARE_ROWS = 8_000, 20_000
 MAX_CENTROIDS = 512
+#: distances are in single precision; bounds give way by so much
+ROUNDING = 2e-3
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -90,6 +96,27 @@ def visit_order(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, candidates:
     return out
 
 
+def half_bounds(d: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Least distance of each query's half to each centroid's region, from its squared distances
+    ``d`` to the centroids: a region ends at the planes halfway to the other centroids."""
+    near = d.argmin(1)
+    wide = centers.astype(np.float64)
+    apart = np.sqrt(np.maximum(_distances(wide, wide), 0))[near]
+    gap = d - d[np.arange(len(d)), near][:, None]
+    return np.where(apart > 1e-3, np.maximum(gap, 0) / (2 * np.maximum(apart, 1e-3)), 0)
+
+
+def reachable(d1: np.ndarray, d2: np.ndarray, planes1: np.ndarray, planes2: np.ndarray, far: np.ndarray, min_similarity: float) -> np.ndarray:
+    """Whether each cell (i, j) may hold a unit vector of at least ``min_similarity`` to one query.
+
+    ``d1`` and ``d2`` are squared distances to the centroids, ``planes`` are ``half_bounds`` and
+    ``far`` has the largest distance of a cell's vectors to its two centroids, -1 if it has none."""
+    low1 = np.maximum(np.sqrt(np.maximum(d1, 0))[:, None] - far[0], planes1[:, None])
+    low2 = np.maximum(np.sqrt(np.maximum(d2, 0))[None, :] - far[1], planes2[None, :])
+    low1, low2 = np.maximum(low1 - ROUNDING, 0), np.maximum(low2 - ROUNDING, 0)
+    return (far[0] >= 0) & (low1**2 + low2**2 <= 2 - 2 * min_similarity)
+
+
 def nearest(
     queries: DataFrame,
     index: DataFrame,
@@ -107,12 +134,12 @@ def nearest(
     with a null id or an unusable vector (null, wrong size, null or non-finite numbers, all
     zero) take no part. An item with several vectors counts once, with the most similar; so
     does a query that came several times. Ties: smaller item_id first. An empty side gives
-    no rows. Extra columns are ignored.
+    no rows. Extra columns are ignored. With ``min_similarity`` the result is exact.
     """
     spark = index.sparkSession
     floats = T.ArrayType(T.FloatType())
     base = index.select(F.col("item_id").cast("string").alias("item_id"), F.col("vector").cast(floats).alias("vector"))
-    base = base.where(F.col("item_id").isNotNull() & usable(F.col("vector"), dim))
+    base = cut_lineage(base.where(F.col("item_id").isNotNull() & usable(F.col("vector"), dim)).dropDuplicates(["item_id", "vector"]))
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast(floats).alias("vector"))
     asked = asked.where(F.col("query_id").isNotNull() & usable(F.col("vector"), dim))
     out_schema = "query_id string, item_id string, similarity double"
@@ -133,13 +160,17 @@ def nearest(
             if len(pdf):
                 u = _unit(np.stack(pdf["vector"].to_numpy())).astype(np.float32)
                 i, j = _distances(u[:, :half], c1).argmin(1), _distances(u[:, half:], c2).argmin(1)
-                yield pdf.assign(i=i.astype(np.int32), j=j.astype(np.int32))
-
-    placed = base.mapInPandas(assign, "item_id string, vector array<float>, i int, j int")
-    counts = np.zeros((kc, kc), np.int64)
-    for row in placed.groupBy("i", "j").count().collect():  # at most kc * kc rows
-        counts[row["i"], row["j"]] = row["count"]
-    parts = np.maximum(1, -(-counts.sum(1) // PART_ROWS))
+                far1, far2 = np.linalg.norm(u[:, :half] - c1[i], axis=1), np.linalg.norm(u[:, half:] - c2[j], axis=1)
+                yield pdf.assign(i=i.astype(np.int32), j=j.astype(np.int32), far1=far1, far2=far2)
+
+    placed = base.mapInPandas(assign, "item_id string, vector array<float>, i int, j int, far1 double, far2 double")
+    counts, held, far = np.zeros((kc, kc), np.int64), np.zeros((kc, kc), np.int64), np.full((2, kc, kc), -1.0)
+    by_item = placed.groupBy("i", "j", "item_id").agg(F.count("*").alias("n"), F.max("far1").alias("far1"), F.max("far2").alias("far2"))
+    by_cell = by_item.groupBy("i", "j").agg(F.count("*").alias("items"), F.sum("n").alias("n"), F.max("far1").alias("far1"), F.max("far2").alias("far2"))
+    for row in by_cell.collect():  # at most kc * kc rows
+        at = row["i"], row["j"]
+        counts[at], held[at], far[0][at], far[1][at] = row["items"], row["n"], row["far1"], row["far2"]
+    parts = np.maximum(1, -(-held.sum(1) // PART_ROWS))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -147,10 +178,15 @@ def nearest(
             if len(pdf):
                 u = _unit(np.stack(pdf["vector"].to_numpy())).astype(np.float32)
                 d1, d2 = _distances(u[:, :half], c1), _distances(u[:, half:], c2)
+                planes1, planes2 = half_bounds(d1, c1), half_bounds(d2, c2)
             for r, (qid, vector) in enumerate(zip(pdf["query_id"], pdf["vector"])):
                 by_first: dict[int, list[int]] = {}
-                for i, j in visit_order(d1[r], d2[r], counts, candidates):
-                    by_first.setdefault(i, []).append(j)
+                if min_similarity is None:
+                    for i, j in visit_order(d1[r], d2[r], counts, candidates):
+                        by_first.setdefault(i, []).append(j)
+                else:
+                    may = reachable(d1[r], d2[r], planes1[r], planes2[r], far, min_similarity)
+                    by_first = {int(i): np.flatnonzero(may[i]).tolist() for i in np.flatnonzero(may.any(1))}
                 for i, js in by_first.items():
                     ids.append(qid)
                     vectors.append(vector)

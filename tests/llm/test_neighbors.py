@@ -65,3 +65,22 @@ def test_walk_visits_cells_in_order():
     counts = np.zeros((12, 12), int)
     counts[3, 4] = 2
     assert N.visit_order(d1, d2, counts, 5) == [(3, 4)]
+
+
+def test_threshold_is_exact_beside_a_cell_of_copies(spark):
+    r = np.random.default_rng(4)
+    centers = r.normal(size=(30, 16))
+    x = centers[r.integers(0, 30, 900)] + 0.3 * r.normal(size=(900, 16))
+    q = x[:40] + 0.1 * r.normal(size=(40, 16))
+    copies = [("copy", [float(v) for v in q[0]])] * 6000
+    Q, X = spark.createDataFrame(rows("q", q), SCHEMA_Q), spark.createDataFrame(rows("x", x) + copies, SCHEMA_X)
+    got = {(g.query_id, g.item_id) for g in N.nearest(Q, X, 16, 2000, 0.9, candidates=1).collect() if g.item_id != "copy"}
+    s = N._unit(q) @ N._unit(x).T
+    assert got == {(f"q{i:05d}", f"x{j:05d}") for i, j in zip(*np.nonzero(s >= 0.9))}
+
+
+def test_budget_counts_different_items(spark):
+    x = clustered(6, 300)
+    copies = [("copy", [float(v) for v in x[0]])] * 3000
+    Q, X = spark.createDataFrame(rows("q", x[:1]), SCHEMA_Q), spark.createDataFrame(rows("x", x) + copies, SCHEMA_X)
+    assert N.nearest(Q, X, 16, 200, candidates=250).count() == 200
