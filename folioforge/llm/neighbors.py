@@ -117,6 +117,17 @@ def reachable(d1: np.ndarray, d2: np.ndarray, planes1: np.ndarray, planes2: np.n
     return (far[0] >= 0) & (low1**2 + low2**2 <= 2 - 2 * min_similarity)
 
 
+def best_columns(sim: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` greatest numbers of each row that are at least ``least``; ties
+    to the smaller column."""
+    keep = np.ones_like(sim, bool) if least is None else sim >= least
+    if sim.shape[1] > k:
+        keep &= sim >= -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
+        for row in np.flatnonzero(keep.sum(1) > k):  # ties at the last place
+            keep[row, np.argsort(-sim[row], kind="stable")[k:]] = False
+    return np.nonzero(keep)
+
+
 def nearest(
     queries: DataFrame,
     index: DataFrame,
@@ -213,7 +224,7 @@ def nearest(
         empty = pd.DataFrame({"query_id": pd.Series(dtype=object), "item_id": pd.Series(dtype=object), "similarity": pd.Series(dtype=float)})
         if qs.empty or items.empty:
             return empty
-        items = items.sort_values("j", kind="stable")
+        items = items.sort_values(["j", "item_id"], kind="stable")
         js = items["j"].to_numpy()
         ids = items["item_id"].to_numpy()
         m = _unit(np.stack(items["vector"].to_numpy()))
@@ -229,20 +240,15 @@ def nearest(
         rows, cols, sims = [], [], []
         for c, rs in by_cell.items():
             s, e = at[c]
+            firsts = np.flatnonzero(np.append(True, ids[s + 1 : e] != ids[s : e - 1]))
             step = max(1, 4_000_000 // (e - s))
             for lo in range(0, len(rs), step):
                 block = np.array(rs[lo : lo + step])
-                sim = q[block] @ m[s:e].T
-                if min_similarity is not None:
-                    x, y = np.nonzero(sim >= min_similarity)
-                elif e - s > 4 * k:
-                    top = np.argpartition(-sim, 4 * k, axis=1)[:, : 4 * k]
-                    # items repeat: keep all rows at least as good as the 4k-th
-                    x, y = np.nonzero(sim >= np.take_along_axis(sim, top, 1).min(1)[:, None])
-                else:
-                    x, y = np.nonzero(np.ones_like(sim, bool))
+                # an item counts once, by its best vector
+                sim = np.maximum.reduceat(q[block] @ m[s:e].T, firsts, axis=1)
+                x, y = best_columns(sim, k, min_similarity)
                 rows.append(block[x])
-                cols.append(s + y)
+                cols.append(s + firsts[y])
                 sims.append(sim[x, y])
         if not rows:
             return empty

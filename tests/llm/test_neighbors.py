@@ -84,3 +84,20 @@ def test_budget_counts_different_items(spark):
     copies = [("copy", [float(v) for v in x[0]])] * 3000
     Q, X = spark.createDataFrame(rows("q", x[:1]), SCHEMA_Q), spark.createDataFrame(rows("x", x) + copies, SCHEMA_X)
     assert N.nearest(Q, X, 16, 200, candidates=250).count() == 200
+
+
+def test_item_with_many_vectors_takes_one_place(spark):
+    r = np.random.default_rng(8)
+    q = r.normal(size=(1, 16))
+    many = [("many", [float(v) for v in row]) for row in q + 0.01 * r.normal(size=(60, 16))]
+    x = q + 0.2 * r.normal(size=(30, 16))
+    Q, X = spark.createDataFrame(rows("q", q), SCHEMA_Q), spark.createDataFrame(many + rows("x", x), SCHEMA_X)
+    got = N.nearest(Q, X, 16, 10, centroids=1).orderBy("rank").collect()
+    s = (N._unit(q) @ N._unit(x).T)[0]
+    assert [g.item_id for g in got] == ["many"] + [f"x{j:05d}" for j in np.argsort(-s)[:9]]
+
+
+def test_best_columns_ties_and_floor():
+    sim = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.3, 0.95, 0.91, 0.1]])
+    assert [list(map(int, v)) for v in N.best_columns(sim, 2, None)] == [[0, 0, 1, 1], [0, 1, 2, 3]]
+    assert [list(map(int, v)) for v in N.best_columns(sim, 3, 0.9)] == [[0, 1, 1], [1, 2, 3]]
