@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import consensus, matching, mixing, neighbors, packing, residue, splitting, survivor
+from folioforge.llm import consensus, matching, mixing, neighbors, packing, residue, residue_sql, splitting, survivor
 from folioforge.sources import table
 
 
@@ -87,7 +87,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_messages(spark: SparkSession, d: str) -> DataFrame:
-    return residue.recurring(residue.classified_messages(table(spark, d, "documents"))).where("recurs")
+    found = residue.classified(residue.candidate_messages(table(spark, d, "documents")))
+    return found.where("grade > 0 AND (recurs OR grade = 3)").select("mask", "kind", "grade", "n_docs", "n_sources")
 
 
 P1_SQL = r"""
@@ -194,4 +195,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_agreement": _agreement_sql(), "p5_found": P5_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_agreement": _agreement_sql(), "p5_found": P5_SQL, "p8_found": residue_sql.found_sql(), "p8_messages": residue_sql.messages_sql()}

@@ -53,4 +53,4 @@ def test_long_text_repeats_nulls_and_columns(spark):
 
 def test_masking_groups_messages(spark):
     rows = docs(spark, ["Request ID 3fa9b2c1", "Request ID 77aa01ee", "Request id 12345678"])
-    assert R.recurring(R.classified_messages(rows)).select("mask", "n_docs", "n_sources").collect() == [("request id 0", 3, 3)]
+    assert R.classified(R.candidate_messages(rows)).select("mask", "n_docs", "n_sources").collect() == [("request id 0", 3, 3)]
