@@ -1,16 +1,22 @@
 """Matching entities across two sources without a common key, by loopy belief propagation.
 
 1. *Normalise* both sides (Arrow batches): folded titles without decorations, the part
-   after a "Name:", number signature, surnames, catalogue id.
-2. *Block* by equi-joins on (surname, title word), whole title and catalogue id, so that a
-   pair needs one common key of any kind; hot keys are split by a salt on the side that
-   has many rows while the other side is replicated to the salts. No cap anywhere.
+   after a "Name:", number signature, surnames, catalogue id. Letters of every script are
+   kept; Latin accents come off. Listings alike in all of it are one listing.
+2. *Block* by equi-joins. Listings of two and more surnames meet works on a pair of
+   surnames, those of one on surname and title words, those without on the title; ids and,
+   for works without names, titles join all. Hot keys are split by a salt on the side that
+   has many rows while the other side is replicated to the salts.
 3. *Score* each candidate pair: log odds from title alignment, authors, year and id.
 4. *Propagate*: each pair is a binary variable with two at-most-one factors. A listing
-   stands for at most one work. A work has at most one catalogue id, so among listings
-   that carry different ids at most one id's listings belong to it; listings without an
-   id, or with the same id, are further listings of one work and don't compete. Messages
-   are exchanged by group-bys until the marginals settle.
+   stands for at most one work. A work is at most one listed entity: listings without a
+   contradiction to the work describe the same entity, every other listing is one of
+   its own (those with the same id together), and of the entities of a work at most one
+   is the work. Pairs without a rival are settled at once; for the others messages are
+   exchanged by group-bys until no marginal moves.
+
+Blocking by two surnames loses nothing that scoring could accept: with one common name of
+two or more, a pair of different ids stays under even odds (see ``pair_evidence``).
 """
 
 from __future__ import annotations
@@ -27,16 +33,13 @@ from pyspark.sql import functions as F
 from folioforge.functions.staging import staged
 from folioforge.session import cut_lineage
 
-ROUNDS, TOLERANCE = 12, 1e-3
+#: rounds that end a run which doesn't settle; pairs that still move are reported as such
+ROUNDS, TOLERANCE = 60, 1e-3
 THRESHOLD = 0.5
 HOT_KEY, SALT_ROWS = 2_000, 1_000
-#: a listing with more keys than this must share two of them with a work
-FEW_KEYS = 8
 #: first letters that are a key beside a surname, the fewest of a cut title that scoring reads; and
 #: without names, where fewer are never enough evidence
 START, LONG_START = 5, 20
-#: strength of the id factor: ids in a listing are sometimes wrong
-ID_WEIGHT = 0.3
 
 _DECORATION = re.compile(
     r"^\s*(?:\[(?:pdf|html|book|doc|ps|citation|b|c)\]\s*)+|[(\[](?:preprint|pre-print|extended abstract|short paper|poster|workshop(?: version| paper)?|technical report|draft|v\d+|"
@@ -45,15 +48,23 @@ _DECORATION = re.compile(
 )
 _CUT = re.compile(r"(?:…|\.{2,})[\"'”) ]*$")
 _TAG = re.compile(r"<[^<>]{1,40}>")
-_ID = re.compile(r"(?<!\d)(\d{4}\.\d{4,5})(?!\d)")
+_ID = re.compile(r"(?<!\d)(\d{4}\.\d{4,5})(?!\d)|(?<![a-z-])([a-z]+(?:-[a-z]+)?(?:\.[A-Z]{2})?/\d{7})(?!\d)")
+#: letters that have no decomposition, and marks of other scripts
+_PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "、": ",", "。": "."})
+_NO_SPACES = re.compile("[\u2e80-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
 _STOP = frozenset("a an the of for in on with to and or by from at as via under through into its is are using towards toward".split())
 _ROMAN = {"ii": "2", "iii": "3", "iv": "4", "v": "5"}
 
 
 def fold(text: str) -> str:
-    """Entities resolved, tags and accents off, lower case."""
-    text = _TAG.sub(" ", html.unescape(html.unescape(text)))
-    return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
+    """Entities resolved, tags and accents off, lower case; of other scripts the letters and digits."""
+    text = unicodedata.normalize("NFKD", _TAG.sub(" ", html.unescape(html.unescape(text)))).lower().translate(_PLAIN)
+    return text if text.isascii() else "".join(c for c in text if c.isascii() or c.isalnum() and not unicodedata.combining(c))
+
+
+def word_parts(word: str) -> list[str]:
+    """The word; for scripts without spaces its pairs of neighbouring signs."""
+    return [word[i : i + 2] for i in range(len(word) - 1)] or [word] if _NO_SPACES.search(word) else [word]
 
 
 def title_parts(raw: str | None) -> tuple[str, str, str, bool, list[str], list[str]]:
@@ -73,13 +84,15 @@ def title_parts(raw: str | None) -> tuple[str, str, str, bool, list[str], list[s
     name, colon, rest = text.partition(":")
 
     def words(s: str) -> list[str]:
-        found = re.findall(r"[a-z0-9+]+", s)
+        found = re.findall(r"(?:[^\W_]|\+)+", s)
         return [_ROMAN.get(w, w) if i else w for i, w in enumerate(found)]
 
+    def keywords(found: list[str]) -> list[str]:
+        return [part for w in found if (len(w) > 2 or not w.isascii()) and w not in _STOP for part in word_parts(w)]
+
     whole = words(text)
-    keys = [w for w in whole if len(w) > 2 and w not in _STOP]
-    joined = [w for w in words(re.sub(r"(?<=\w)-(?=\w)", "", text)) if len(w) > 2 and w not in _STOP]
-    return "".join(whole), "".join(words(rest)) if colon else "", "".join(words(name)) if colon else "", cut, keys, joined
+    joined = words(re.sub(r"(?<=\w)-(?=\w)", "", text))
+    return "".join(whole), "".join(words(rest)) if colon else "", "".join(words(name)) if colon else "", cut, keywords(whole), keywords(joined)
 
 
 def single_names(authors: object) -> list[str]:
@@ -99,11 +112,11 @@ def surnames(authors: object) -> list[str]:
     out = []
     for text in single_names(authors):
         if "," in text:
-            head = re.findall(r"[a-z]+", text.split(",")[0])
+            head = re.findall(r"[^\W\d_]+", text.split(",")[0])
             if head:
                 out.append("".join(head))
                 continue
-        words = re.findall(r"[a-z]+", text)
+        words = re.findall(r"[^\W\d_]+", text)
         if words in (["et", "al"], ["others"], ["al"]):
             continue
         long = [w for w in words if len(w) > 1]
@@ -114,7 +127,7 @@ def surnames(authors: object) -> list[str]:
 
 def name_words(authors: object) -> list[str]:
     """All folded words of the names that aren't initials."""
-    return sorted({w for raw in (authors if authors is not None else []) for w in re.findall(r"[a-z]+", fold(raw or "")) if len(w) > 1})
+    return sorted({w for raw in (authors if authors is not None else []) for w in re.findall(r"[^\W\d_]+", fold(raw or "")) if len(w) > 1})
 
 
 _SIDE = "sid string, whole string, rest string, name string, cut boolean, words array<string>, joined array<string>, surnames array<string>, people array<string>, code string, year int"
@@ -131,7 +144,7 @@ def normalised(df: DataFrame) -> DataFrame:
                 whole, rest, name, cut, words, joined = title_parts(title)
                 code = _ID.search(ids or "")
                 year = int(year) if year == year and year is not None and 1900 < year < 2100 else None
-                out.append((sid, whole, rest, name, cut, words, joined, surnames(authors), name_words(authors), code.group(1) if code else None, year))
+                out.append((sid, whole, rest, name, cut, words, joined, surnames(authors), name_words(authors), code.group(0) if code else None, year))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in _SIDE.split(", ")])
             yield frame.astype({"year": "Int32"})
 
@@ -139,56 +152,68 @@ def normalised(df: DataFrame) -> DataFrame:
 
 
 def block_keys(side: DataFrame, listings: bool = False) -> DataFrame:
-    """(sid, n_names, n_keys, short, name, key): surname x two neighbouring title words (the next or the one after it), surname
-    x whole title, name and rest; whole title and rest alone; catalogue id. For short titles surname x single
-    title word and surname x first letters of title and rest; first letters of a long title alone.
-
-    One common key makes a pair a candidate. Two words and a surname stay selective when
-    vocabulary and name pool don't grow with the data. A listing that is cut short, or has fewer
-    than two usable words, may have no whole pair of words, so it gets the keys of short titles
-    as well; works have them all. Of ``listings`` title-only keys are given to rows without a
-    surname alone, as on one side they suffice.
+    """(sid, kind, key): the keys by which a row meets the other side.
+
+    ======  ====================================================  =========================
+    kind    key                                                   emitted by
+    ======  ====================================================  =========================
+    pair    two surnames                                          rows of two and more
+    word    surname and title word                                listings of one; works
+    title   surname and whole title, name or rest                 listings of one; works
+    start   surname and first letters of title or rest            listings of one, cut or of
+                                                                  under two words; works
+    alone   title, rest, first letters of a long title            listings of none; works
+    unnamed title, rest                                           listings; works of none
+    id      catalogue id                                          all
+    ======  ====================================================  =========================
+
+    One common key makes a pair a candidate, but of kind *word* it takes two, or one if the
+    listing is cut short or has under two words.
     """
-    empty = F.array().cast("array<string>")
-
-    def near(words: str) -> Column:
-        pairs = F.transform(words, lambda w, i: F.transform(F.slice(words, i + 2, 2), lambda v: F.concat_ws("|", F.least(w, v), F.greatest(w, v))))
-        return F.when(F.size(words) > 1, F.flatten(pairs)).otherwise(empty)
-
+    none = F.array().cast("array<string>")
+    named = F.array_sort("surnames")
+    n = F.size("surnames")
     spans = F.array_distinct(F.filter(F.array("whole", "name", "rest"), lambda t: F.length(t) > 0))
-    both = F.array_distinct(F.concat(near("words"), near("joined"), spans))
-    named = F.flatten(F.transform("surnames", lambda s: F.transform(both, lambda w: F.concat(F.lit("s:"), s, F.lit("|"), w))))
-    titles = F.transform(F.filter(F.array_distinct(F.array("whole", "rest")), lambda t: F.length(t) > 0), lambda t: F.concat(F.lit("t:"), t))
-    starts = F.transform(F.filter(F.array("whole", "rest"), lambda t: F.length(t) >= START), lambda t: F.concat(F.lit("^"), F.substring(t, 1, START)))
-    single = F.concat(F.transform(F.array_union("words", "joined"), lambda w: F.concat(F.lit("w:"), w)), starts)
-    single = F.flatten(F.transform("surnames", lambda s: F.transform(single, lambda w: F.concat(F.lit("s:"), s, F.lit("|"), w))))
-    begun = F.when(F.length("whole") >= LONG_START, F.array(F.concat(F.lit("b:"), F.substring("whole", 1, LONG_START)))).otherwise(empty)
+    titles = F.array_distinct(F.filter(F.array("whole", "rest"), lambda t: F.length(t) > 0))
+    starts = F.transform(F.filter(titles, lambda t: F.length(t) >= START), lambda t: F.substring(t, 1, START))
+    begun = F.when(F.length("whole") >= LONG_START, F.array(F.substring("whole", 1, LONG_START))).otherwise(none)
     short = F.col("cut") | (F.size("words") < 2)
-    if listings:
-        single, begun = (F.when(short, x).otherwise(empty) for x in (single, begun))
-        titles, begun = (F.when(F.size("surnames") == 0, x).otherwise(empty) for x in (titles, begun))
-    code = F.when(F.col("code").isNotNull(), F.array(F.concat(F.lit("c:"), "code"))).otherwise(empty)
-    x = side.select("sid", F.size("surnames").alias("n_names"), short.alias("short"), F.array_distinct(F.concat(named, titles, code, single, begun)).alias("all"))
-    x = x.select("sid", "n_names", "short", F.size("all").alias("n_keys"), F.explode("all").alias("key"))
-    name = F.when(F.col("key").startswith("s:"), F.hash(F.substring_index("key", "|", 1)))
-    return x.select("sid", "n_names", "n_keys", "short", name.alias("name"), F.xxhash64("key").alias("key"))
+    one, few = (n == 1, (n == 1) & short) if listings else (n >= 1, n >= 1)
+    without = n == 0 if listings else F.lit(True)
+
+    def each(parts: Column) -> Column:
+        return F.flatten(F.transform("surnames", lambda s: F.transform(parts, lambda t: F.concat(s, F.lit("|"), t))))
+
+    kinds = {
+        "pair": (n >= 2, F.flatten(F.transform(named, lambda a, i: F.transform(F.slice(named, i + 2, F.greatest(n, F.lit(1))), lambda b: F.concat(a, F.lit("&"), b))))),
+        "word": (one, each(F.array_union("words", "joined"))),
+        "title": (one, each(spans)),
+        "start": (few, each(F.transform(starts, lambda t: F.concat(F.lit("^"), t)))),
+        "alone": (without, F.concat(titles, F.transform(begun, lambda t: F.concat(F.lit("^"), t)))),
+        "unnamed": (F.lit(True) if listings else n == 0, titles),
+        "id": (F.col("code").isNotNull(), F.array("code")),
+    }
+
+    def tag(kind: str, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
+    tagged = [F.when(when, tag(kind, keys)) for kind, (when, keys) in kinds.items()]
+    blank = F.array().cast("array<struct<kind:string,key:string>>")
+    x = side.select("sid", short.alias("short"), F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(t, blank) for t in tagged])))).alias("k"))
+    enough = (F.col("k.kind") != "word") | F.col("short")
+    return x.select("sid", enough.alias("enough"), F.xxhash64("k.kind", "k.key").alias("key"))
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (lid, rid) that share two keys (one if the listing has few or its title is short) and, for listings of
-    three and more names, two names, as scoring asks for; a title or id key alone will do. Keys with more than ``HOT_KEY`` rows on the left are
-    salted there by id hash and the right side is replicated, so a hot key spreads over tasks."""
+    """Distinct (lid, rid) with the common keys that ``block_keys`` asks for. Keys with more than ``HOT_KEY`` rows on
+    the left are salted there by id hash and the right side is replicated, so a hot key spreads over tasks."""
     lk, rk = block_keys(left, listings=True).withColumnRenamed("sid", "lid"), block_keys(right).select(F.col("sid").alias("rid"), "key")
     hot = lk.groupBy("key").count().where(F.col("count") > HOT_KEY).select("key", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
-    lk = lk.withColumn("need", F.when((F.col("n_keys") > FEW_KEYS) & ~F.col("short"), 2).otherwise(1))
     lk = lk.join(hot, "key", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("lid"), F.col("salts")).cast("int")))
     rk = rk.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    lk = lk.withColumn("several", F.col("n_names") >= 3)
-    hits = lk.select("key", "salt", "lid", "need", "several", "name").join(rk.select("key", "salt", "rid"), ["key", "salt"])
-    both = hits.groupBy("lid", "rid").agg(
-        F.count("*").alias("n"), F.count("name").alias("by_name"), F.max("need").alias("need"), F.max("several").alias("several"), F.min("name").alias("a"), F.max("name").alias("b")
-    )
-    return both.where("n > by_name OR (n >= need AND (NOT several OR a <> b))").select("lid", "rid")
+    hits = lk.select("key", "salt", "lid", "enough").join(rk.select("key", "salt", "rid"), ["key", "salt"])
+    both = hits.groupBy("lid", "rid").agg(F.count("*").alias("n"), F.max("enough").alias("enough"))
+    return both.where("enough OR n >= 2").select("lid", "rid")
 
 
 def _digits(x: Column) -> Column:
@@ -242,8 +267,10 @@ def title_evidence() -> Column:
 
 
 def pair_evidence(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(lid, rid, code, prior): prior log odds of each pair; hopeless pairs (under -4) are left out,
-    as no message can raise them."""
+    """(lid, rid, entity, prior): prior log odds of each pair; hopeless pairs (under -4) are left out,
+    as messages only lower them. ``entity`` is 0 for a listing without a contradiction to the work
+    (a reading of the title fits, all names, year within two; what is unknown contradicts nothing), else a
+    key of its id or its own."""
     own = ("sid", "whole", "cut", "surnames", "code", "year")
     theirs = ("sid", "whole", "rest", "name", "people", "code", "year")
     x = pairs.join(left.select(*[F.col(c).alias(f"l_{c}") for c in own]), F.col("lid") == F.col("l_sid"))
@@ -269,48 +296,60 @@ def pair_evidence(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFr
     year = F.when(apart.isNull(), 0.0).otherwise(year)
     code = F.when(F.col("l_code") == F.col("r_code"), 6.0).when(F.col("l_code") != F.col("r_code"), -2.0).otherwise(0.0)
     prior = F.lit(-6.0) + F.col("title") + people + year + F.coalesce(code, F.lit(0.0))
-    x = staged(x, prior=prior).select("lid", "rid", F.col("l_code").alias("code"), "prior")
-    return x.where("prior > -4")
+    agrees = (unknown | (share >= 0.99)) & (apart.isNull() | (apart <= 2))
+    own = F.coalesce(F.xxhash64("l_code"), F.xxhash64("lid"))
+    return staged(x, prior=prior).where("prior > -4").select("lid", "rid", F.when(agrees, F.lit(0).cast("long")).otherwise(own).alias("entity"), "prior")
+
+
+def _sigma(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
 
 
 def propagate(pairs: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(lid, rid, confidence) from (lid, rid, code, prior): marginals of the pair variables.
+    """(lid, rid, confidence, settled) from (lid, rid, entity, prior): marginals of the pair variables,
+    and whether the last round moved them by less than ``tolerance``.
 
     A pair hears from its listing -log(1 + sum of the odds of the listing's other pairs), and
-    from its work the same over the other ids' strongest listings, weighted. Messages are
-    damped by half and stop when no marginal moves by ``tolerance``.
+    from its work the same over the strongest listings of the other entities. Messages are
+    damped by half and stop when no marginal moves by ``tolerance``. A round is one job: the
+    greatest move comes out of the table that the round writes.
     """
-    state = cut_lineage(pairs.select("*", F.lit(0.0).alias("from_l"), F.lit(0.0).alias("from_r")))
+    at_l, at_r = Window.partitionBy("lid"), Window.partitionBy("rid")
+    x = pairs.withColumn("rivals_l", F.count("*").over(at_l) - 1)
+    x = x.withColumn("rivals_r", F.when(F.min("entity").over(at_r) != F.max("entity").over(at_r), 1).otherwise(0))
+    x = cut_lineage(x.select("lid", "rid", "entity", "prior", ((F.col("rivals_l") > 0) | (F.col("rivals_r") > 0)).alias("rivals")))
+    alone = x.where("NOT rivals").select("lid", "rid", _sigma(F.col("prior")).alias("confidence"), F.lit(True).alias("settled"))
+    zero, gone = F.lit(0.0), F.lit(1.0)
+    start = x.where("rivals").select("lid", "rid", "entity", "prior", zero.alias("from_l"), zero.alias("from_r"), gone.alias("moved"))
+    state = start
 
     def odds(x: Column) -> Column:
         return F.exp(F.least(x, F.lit(30.0)))
 
-    def sigma(x: Column) -> Column:
-        return 1 / (1 + F.exp(-x))
-
-    for _ in range(rounds):
+    for turn in range(rounds):
         to_l = odds(F.col("prior") + F.col("from_r"))
         to_r = odds(F.col("prior") + F.col("from_l"))
-        x = state.withColumn("to_l", to_l).withColumn("to_r", to_r)
-        at_l = F.sum("to_l").over(Window.partitionBy("lid"))
-        x = x.withColumn("others_l", F.greatest(at_l - F.col("to_l"), F.lit(0.0)))
-        by_id = x.where("code IS NOT NULL").groupBy("rid", "code").agg(F.max("to_r").alias("id_odds"))
-        by_id = by_id.withColumn("others_r", F.greatest(F.sum("id_odds").over(Window.partitionBy("rid")) - F.col("id_odds"), F.lit(0.0)))
-        x = x.join(by_id.select("rid", "code", "others_r"), ["rid", "code"], "left")
-        new_l = -F.log1p("others_l")
-        new_r = -ID_WEIGHT * F.log1p(F.coalesce("others_r", F.lit(0.0)))
-        before = sigma(F.col("prior") + F.col("from_l") + F.col("from_r"))
-        x = x.select("lid", "rid", "code", "prior", before.alias("before"),
-                     (0.5 * F.col("from_l") + 0.5 * new_l).alias("from_l"), (0.5 * F.col("from_r") + 0.5 * new_r).alias("from_r"))
-        state = cut_lineage(x, replaces=state)
-        moved = state.agg(F.max(F.abs(sigma(F.col("prior") + F.col("from_l") + F.col("from_r")) - F.col("before")))).first()[0]
-        if moved is None or moved < tolerance:
+        y = state.withColumn("to_l", to_l).withColumn("to_r", to_r)
+        y = y.withColumn("others_l", F.greatest(F.sum("to_l").over(at_l) - F.col("to_l"), zero))
+        # the strongest listing of each entity speaks for it; sums over entities from one window a work
+        same = Window.partitionBy("rid", "entity")
+        y = y.withColumn("best", F.max("to_r").over(same))
+        y = y.withColumn("first", F.row_number().over(same.orderBy("lid")))
+        y = y.withColumn("others_r", F.greatest(F.sum(F.when(F.col("first") == 1, F.col("best"))).over(at_r) - F.col("best"), zero))
+        new_l = 0.5 * F.col("from_l") - 0.5 * F.log1p("others_l")
+        new_r = 0.5 * F.col("from_r") - 0.5 * F.log1p("others_r")
+        moved = F.abs(_sigma(F.col("prior") + new_l + new_r) - _sigma(F.col("prior") + F.col("from_l") + F.col("from_r")))
+        y = y.select("lid", "rid", "entity", "prior", new_l.alias("from_l"), new_r.alias("from_r"), moved.alias("moved"))
+        state = cut_lineage(y, replaces=None if state is start else state)
+        most = state.agg(F.max("moved")).first()[0]
+        if most is None or most < tolerance:
             break
-    return state.select("lid", "rid", sigma(F.col("prior") + F.col("from_l") + F.col("from_r")).alias("confidence"))
+    settled = F.col("moved") < tolerance
+    return state.select("lid", "rid", _sigma(F.col("prior") + F.col("from_l") + F.col("from_r")).alias("confidence"), settled.alias("settled")).unionByName(alone)
 
 
 def match(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(lid, rid, confidence) of pairs at or above ``threshold``.
+    """(lid, rid, confidence, settled) of pairs at or above ``threshold``.
 
     Both sides have sid, title, authors (array), year, ids. Rows with a null sid take no part.
     Listings alike in all normalised fields are matched once and share the result; a right
@@ -320,23 +359,23 @@ def match(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> Da
     l_all = normalised(left.where("sid IS NOT NULL"))
     fields = [c for c in l_all.columns if c != "sid"]
     lsig = F.xxhash64(*fields)
-    l_all = l_all.withColumn("sig", lsig).persist()
+    l_all = cut_lineage(l_all.withColumn("sig", lsig))
     one = l_all.groupBy("sig").agg(F.min(F.struct("sid", *fields)).alias("x")).select(F.col("sig").alias("sid"), *[F.col(f"x.{c}").alias(c) for c in fields])
     r_all = normalised(right.where("sid IS NOT NULL")).dropDuplicates()
-    r_all = r_all.withColumn("key", F.xxhash64(*r_all.columns)).persist()
+    r_all = cut_lineage(r_all.withColumn("key", F.xxhash64(*r_all.columns)))
     r_one = r_all.withColumnRenamed("sid", "rid_true").withColumnRenamed("key", "sid")
     scored = pair_evidence(candidate_pairs(one, r_one), one, r_one.drop("rid_true"))
     scored = scored.join(r_one.select(F.col("sid").alias("rid"), "rid_true"), "rid").groupBy("lid", F.col("rid_true").alias("rid")).agg(
-        F.max("code").alias("code"), F.max("prior").alias("prior")
+        F.max_by("entity", F.struct("prior", F.col("entity") == 0, "entity")).alias("entity"), F.max("prior").alias("prior")
     )
     found = propagate(scored).where(F.col("confidence") >= threshold)
     back = l_all.select(F.col("sig").alias("lid"), F.col("sid").alias("listing")).distinct()
-    return found.join(back, "lid").select(F.col("listing").alias("lid"), "rid", "confidence")
+    return found.join(back, "lid").select(F.col("listing").alias("lid"), "rid", "confidence", "settled")
 
 
 def listings_to_papers(listings: DataFrame, papers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """hn_id, paper_id and confidence of search listings and downloaded papers."""
+    """hn_id, paper_id, confidence and settled of search listings and downloaded papers."""
     left = listings.select(F.col("hn_id").alias("sid"), F.col("paper_title").alias("title"), "authors", "year", F.concat_ws(" ", "arxiv_id", "pdf_url").alias("ids"))
     right = papers.select(F.col("id").alias("sid"), "title", "authors", "year", F.col("pdf_url").alias("ids"))
     found = match(left, right, threshold)
-    return found.select(F.col("lid").cast("long").alias("hn_id"), F.col("rid").alias("paper_id"), "confidence")
+    return found.select(F.col("lid").cast("long").alias("hn_id"), F.col("rid").alias("paper_id"), "confidence", "settled")

@@ -50,19 +50,44 @@ def test_hot_keys_lose_nothing(spark, monkeypatch):
     assert {(r.lid, r.rid) for r in M.candidate_pairs(L, R).collect()} == {(str(i), "r") for i in range(20)}
 
 
+PAIRS = "lid string, rid string, entity long, prior double"
+
+
 def test_one_to_one_messages(spark):
-    pairs = spark.createDataFrame([("a", "x", None, 3.0), ("a", "y", None, 1.0), ("b", "y", None, 2.0)], "lid string, rid string, code string, prior double")
+    """A listing is one work; a work is one listed entity, whose listings don't compete."""
+    pairs = spark.createDataFrame([("a", "x", 0, 3.0), ("a", "y", 0, 1.0), ("b", "y", 0, 2.0)], PAIRS)
     got = {(r.lid, r.rid): r.confidence for r in M.propagate(pairs).collect()}
     assert got["a", "x"] > 0.8 > 0.2 > got["a", "y"] and abs(got["b", "y"] - 1 / (1 + 2.718281828**-2)) < 0.01
-    ids = spark.createDataFrame([("a", "x", "1111.1111", 4.0), ("b", "x", "2222.2222", 1.0), ("c", "x", "1111.1111", 4.0), ("d", "x", None, 4.0)], "lid string, rid string, code string, prior double")
-    got = {r.lid: r.confidence for r in M.propagate(ids).collect()}
-    assert got["b"] < 0.5 < 0.9 < min(got["a"], got["c"], got["d"])
+    rivals = spark.createDataFrame([("a", "x", 0, 4.0), ("b", "x", 7, 1.0), ("c", "x", 0, 4.0), ("d", "x", 8, 3.0), ("e", "x", 8, 2.0), ("f", "z", 9, 1.0)], PAIRS)
+    rows = M.propagate(rivals).collect()
+    got = {r.lid: r.confidence for r in rows}
+    assert max(got[k] for k in "bde") < 0.3 < 0.6 < min(got["a"], got["c"]) and all(r.settled for r in rows)
+    assert abs(got["f"] - 1 / (1 + 2.718281828**-1)) < 1e-6
+
+
+def test_a_run_that_is_cut_off_says_so(spark):
+    pairs = spark.createDataFrame([("a", "x", 0, 3.0), ("a", "y", 0, 2.5), ("b", "y", 1, 2.0), ("c", "z", 0, 1.0)], PAIRS)
+    assert {(r.lid, r.rid): r.settled for r in M.propagate(pairs, rounds=1).collect()} == {("a", "x"): False, ("a", "y"): False, ("b", "y"): False, ("c", "z"): True}
+    assert M.propagate(pairs.where("false")).count() == 0
+
+
+def test_other_scripts_old_ids_and_works_without_names(spark):
+    right = spark.createDataFrame([
+        ("p1", "稀疏核方法在代码搜索中的应用", ["王小明", "李雷"], 2021, None), ("p2", "稠密检索的极限", ["王小明"], 2020, None), ("p3", "Разреженные ядра для поиска кода", ["Иван Петров", "Анна Смирнова"], 2019, None),
+        ("p4", "Sparse Kernels in Practice", [], 2001, None), ("p5", "Planning with Kernels", ["Kim Lund"], 2001, "x/abs/cs/0112017"), ("p6", "Sørensen Bounds for Łukasz Games", ["Ida Sørensen"], 2010, None),
+    ], SCHEMA)
+    left = spark.createDataFrame([
+        ("1", "稀疏核方法在代码搜索中的应用。", ["王小明", "李雷"], 2021, None), ("2", "稠密检索的极限", ["王小明"], None, None), ("3", "РАЗРЕЖЕННЫЕ ЯДРА для поиска кода", ["И. Петров", "А. Смирнова"], 2019, None),
+        ("4", "Sparse kernels in practice", ["Kim Lund", "Ann Oz"], 2001, None), ("5", "Planning with Kernels [v2]", None, None, "cs/0112017"), ("6", "Sorensen bounds for Lukasz games", ["I. Sorensen"], 2010, None),
+        ("7", "量子网络综述", ["王小明", "李雷"], 2021, None),
+    ], SCHEMA)
+    assert {(r.lid, r.rid) for r in M.match(left, right).collect()} == {(str(i), f"p{i}") for i in range(1, 7)}
 
 
 def test_marginals_of_one_factor_are_exact(spark, close):
     import math
 
-    pairs = spark.createDataFrame([("a", "x", None, 1.0), ("a", "y", None, 0.5), ("a", "z", None, -1.0)], "lid string, rid string, code string, prior double")
+    pairs = spark.createDataFrame([("a", "x", 0, 1.0), ("a", "y", 0, 0.5), ("a", "z", 0, -1.0)], PAIRS)
     got = {r.rid: r.confidence for r in M.propagate(pairs, rounds=40, tolerance=1e-9).collect()}
     total = 1 + sum(math.exp(p) for p in (1.0, 0.5, -1.0))
     assert all(abs(got[k] - math.exp(p) / total) < 1e-6 for k, p in (("x", 1.0), ("y", 0.5), ("z", -1.0)))
