@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,10 +30,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "fol
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; only where none is set, as in tests, a new one."""
+    """The session's shared checkpoint folder, from ``spark.checkpoint.dir`` or setCheckpointDir.
+
+    A local session without one gets a folder of its own, removed at exit. On a cluster
+    that is an error: a folder of one machine would lose what other executors write."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioforge-ckpt-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="folioforge-ckpt-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found
 
@@ -53,8 +62,13 @@ def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._folioforge_path = path  # type: ignore[attr-defined]
-    if replaces is not None and (old := getattr(replaces, "_folioforge_path", None)):
-        jvm = spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(old)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if replaces is not None:
+        drop_table(replaces)
     return back
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a result of ``cut_lineage`` that nothing reads any more."""
+    if path := getattr(df, "_folioforge_path", None):
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
