@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import stripped
+
 
 def joined_sha1(*fields: Column) -> Column:
     return F.sha1(F.concat_ws("\n", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields]).cast("binary"))
@@ -26,7 +28,7 @@ def stable_field_id(x: Column) -> Column:
 
 def listing_paper_id(arxiv_id: Column, title: Column) -> Column:
     """Catalogue id with "/" as "_", else the first 12 digits of the title's sha1."""
-    given = F.translate(F.trim(arxiv_id), "/", "_")
+    given = F.translate(stripped(arxiv_id), "/", "_")
     return F.coalesce(F.nullif(given, F.lit("")), F.substring(F.sha1(F.coalesce(title, F.lit("")).cast("binary")), 1, 12))
 
 

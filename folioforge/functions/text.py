@@ -16,6 +16,7 @@ EVIDENCE_KINDS = {
     "eq": "Equation", "eqs": "Equation", "equation": "Equation", "equations": "Equation",
     "alg": "Algorithm", "algs": "Algorithm", "algorithm": "Algorithm", "algorithms": "Algorithm",
 }
+#: fixed value: how discussions name figures, tables, equations and algorithms
 EVIDENCE_REF = (
     r"(?i)\b(fig(?:ure)?s?|tables?|eq(?:uation)?s?|alg(?:orithm)?s?)\.?\s*(?:\(?\s*)"
     "([A-Za-z]?\\d+(?:\\.\\d+)?(?:\\s*(?:-|–|—|to|and|,)\\s*[A-Za-z]?\\d+(?:\\.\\d+)?)*)\\s*\\)?"
@@ -30,8 +31,17 @@ DISCUSSION_TERMS = (
 )
 
 
+#: fixed values: Unicode white space and the separators of records, as a character class
+WHITE = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def stripped(x: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(x, f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
 def collapse_spaces(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.trim(F.regexp_replace(x, f"[{WHITE}]+", " "))
 
 
 def remove_nul(x: Column) -> Column:
@@ -39,7 +49,7 @@ def remove_nul(x: Column) -> Column:
 
 
 def blank_to_null(x: Column) -> Column:
-    return F.when(F.length(F.trim(x)) > 0, F.trim(x))
+    return F.nullif(stripped(x), F.lit(""))
 
 
 def first_nonblank(columns: Sequence[Column]) -> Column:
@@ -61,12 +71,12 @@ def dataset_slug(x: Column) -> Column:
 
 def canonical_id(x: Column) -> Column:
     """Trimmed; one ".restored" and then one ".docling" suffix come off."""
-    return F.regexp_replace(F.regexp_replace(F.trim(x), r"\.restored$", ""), r"\.docling$", "")
+    return F.regexp_replace(F.regexp_replace(stripped(x), r"\.restored$", ""), r"\.docling$", "")
 
 
 def aspect_view(x: Column, reject: bool = True) -> Column:
     """Trimmed, lower case, "_" to "/", "experiment" to "experiment/result"; unknown views to null."""
-    v = F.translate(F.lower(F.trim(x)), "_", "/")
+    v = F.translate(F.lower(stripped(x)), "_", "/")
     v = F.when(v == "experiment", F.lit("experiment/result")).otherwise(v)
     return F.when(v.isin(*VIEWS), v) if reject else v
 
@@ -79,12 +89,12 @@ def view_label(x: Column) -> Column:
 
 def truthy(x: Column) -> Column:
     """Flags written as text; anything unknown, and null, is false."""
-    return F.coalesce(F.lower(F.trim(x.cast("string"))).isin("1", "true", "yes", "y", "on"), F.lit(False))
+    return F.coalesce(F.lower(stripped(x.cast("string"))).isin("1", "true", "yes", "y", "on"), F.lit(False))
 
 
 def word_list(x: Column) -> Column:
     """Whitespace words; an empty array for null."""
-    return F.coalesce(F.filter(F.split(x, r"\s+"), lambda w: w != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.split(x, f"[{WHITE}]+"), lambda w: w != ""), F.array().cast("array<string>"))
 
 
 def word_count(x: Column) -> Column:
@@ -111,7 +121,7 @@ def evidence_refs(x: Column) -> Column:
     alias = F.create_map(*[F.lit(v) for kv in EVIDENCE_KINDS.items() for v in kv])
 
     def expand(kind: Column, label: Column) -> Column:
-        parts = F.filter(F.transform(F.split(label, r"\s*(?:,|\band\b)\s*"), lambda p: F.regexp_replace(p, r"\s+", "")), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(label, r"(?i)\s*(?:,|and)\s*"), lambda p: F.regexp_replace(p, r"\s+", "")), lambda p: p != "")
         return F.transform(parts, lambda p: F.concat_ws(" ", alias[F.lower(kind)], p))
 
     refs = F.array_distinct(F.flatten(F.zip_with(kinds, labels, expand)))
@@ -134,10 +144,10 @@ def pattern_density(x: Column, patterns: Sequence[str]) -> Column:
 def cleaned_query(x: Column) -> Column:
     """Query text without the modality mark, evidence labels and appendix references; spaces
     collapsed and none before punctuation."""
-    t = F.trim(F.replace(x, F.lit("(multimodal)"), F.lit("")))
+    t = stripped(F.replace(x, F.lit("(multimodal)"), F.lit("")))
     t = F.regexp_replace(F.regexp_replace(t, LABEL_MENTION, ""), APPENDIX_MENTION, "")
-    t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"\s+([?.!,])", "$1")
-    return F.trim(t)
+    t = F.regexp_replace(F.regexp_replace(t, f"[{WHITE}]+", " "), r" +([?.!,])", "$1")
+    return stripped(t)
 
 
 def strip_tags(x: Column) -> Column:
@@ -171,8 +181,8 @@ def pdf_url(arxiv_id: Column) -> Column:
 def delimited_list(x: Column) -> Column:
     """A JSON array of strings, or text divided by commas or bars: trimmed, non-blank, distinct."""
     parsed = F.from_json(x, "array<string>")
-    items = F.coalesce(F.when(F.trim(x).startswith("["), parsed), F.split(x, r"[,|]"))
-    return F.array_distinct(F.filter(F.transform(items, lambda v: F.trim(v)), lambda v: F.length(v) > 0))
+    items = F.coalesce(F.when(stripped(x).startswith("["), parsed), F.split(x, r"[,|]"))
+    return F.array_distinct(F.filter(F.transform(items, lambda v: stripped(v)), lambda v: F.length(v) > 0))
 
 
 def search_plan(keywords: Column, words: int = 4) -> Column:
@@ -191,8 +201,9 @@ def unwrapped(json: Column) -> Column:
 def json_in(reply: Column) -> Column:
     """JSON in a model's reply: fences off, the whole text, then the outermost braces, then the
     outermost brackets; null if none parses. Control characters are dropped first."""
+    # fixed value: control characters that JSON texts must not hold
     x = F.regexp_replace(reply, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    x = F.trim(F.regexp_replace(x, r"(?s)```[a-zA-Z]*\s*|```", ""))
+    x = stripped(F.regexp_replace(x, r"(?s)```[a-zA-Z]*\s*|```", ""))
     tries = [x, F.nullif(F.regexp_extract(x, r"(?s)(\{.*\})", 1), F.lit("")), F.nullif(F.regexp_extract(x, r"(?s)(\[.*\])", 1), F.lit(""))]
     return F.coalesce(*[F.when(F.try_parse_json(t).isNotNull(), t) for t in tries])
 

@@ -95,7 +95,7 @@ def planar(points: DataFrame, vector: str, keep: Sequence[str]) -> DataFrame:
 def banner_text(rows: DataFrame, group: str, section: str, text: str, order: str) -> DataFrame:
     """One text a group: its sections in first-seen order, each under a banner with its entries in
     order; blank entries are left out."""
-    x = rows.where(F.length(F.trim(F.col(text))) > 0)
+    x = rows.where(F.length(tx.stripped(F.col(text))) > 0)
     per = x.groupBy(group, section).agg(F.min(order).alias("_at"), F.array_sort(F.collect_list(F.struct(order, text))).alias("_e"))
     body = F.concat(F.lit("=== "), F.col(section), F.lit(" ===\n"), F.array_join(F.transform("_e", lambda e: e[text]), "\n"))
     per = per.select(group, "_at", section, body.alias("_t"))
@@ -122,11 +122,11 @@ REFERENCE_HEADINGS = ("references", "bibliography", "works cited", "literature c
 
 
 def is_reference_heading(line: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(line)), r"^[#\d. ]+", "").isin(*REFERENCE_HEADINGS)
+    return F.regexp_replace(F.lower(tx.stripped(line)), r"^[#\d. ]+", "").isin(*REFERENCE_HEADINGS)
 
 
 def is_appendix_heading(line: Column) -> Column:
-    return F.lower(F.trim(line)).rlike(r"^[#\d. ]*(appendix|appendices|supplementary material)\b")
+    return F.lower(tx.stripped(line)).rlike(r"^[#\d. ]*(appendix|appendices|supplementary material)\b")
 
 
 def is_noise(line: Column) -> Column:

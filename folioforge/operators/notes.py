@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions import text as tx
+
 #: fixed values: content keys of a review
 REVIEW_KEYS = ("summary", "strengths", "weaknesses", "soundness", "presentation", "contribution", "questions")
 KINDS = ("decision", "meta_review", "rebuttal", "review", "comment", "other")
@@ -54,7 +56,7 @@ def note_order() -> list[Column]:
 def entries(record_keys: Column, values: Column, label: Column) -> Column:
     """label/key paths with their non-blank values."""
     pairs = F.zip_with(record_keys, values, lambda k, v: F.struct(F.concat_ws("/", label, k).alias("path"), v.alias("text")))
-    return F.filter(pairs, lambda p: F.length(F.trim(p["text"])) > 0)
+    return F.filter(pairs, lambda p: F.length(tx.stripped(p["text"])) > 0)
 
 
 def feedback_rows(payload: DataFrame, keys: Sequence[str], fixed: Sequence[str], checks: str) -> DataFrame:

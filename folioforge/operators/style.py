@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions import text as tx
+
 from folioforge.functions.text import word_count
 
 #: fixed values: ordered question templates, first match wins on lower-case text
@@ -65,7 +67,7 @@ QUESTION_TEMPLATES = (
 
 def question_template(x: Column) -> Column:
     """Name of the first template that matches the trimmed lower-case text; null if none."""
-    low = F.lower(F.trim(x))
+    low = F.lower(tx.stripped(x))
     out = F.lit(None).cast("string")
     for pattern, name in reversed(QUESTION_TEMPLATES):
         out = F.when(low.rlike(pattern), F.lit(name)).otherwise(out)

@@ -13,7 +13,7 @@ from folioforge.session import shared_folder
 from folioforge.sources import paged, readers, table, writers
 
 Q = "WITH q AS (SELECT DISTINCT ON (id) * FROM candidate_queue)"
-WS = r"[ \t\n\x0b\f\r]+"
+WS = f"[{tx.WHITE}]+"
 
 
 def _q(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +92,7 @@ def banner_texts(spark: SparkSession, d: str) -> DataFrame:
 @query("s27_line_classes", r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, count(*) FILTER (WHERE len(regexp_replace(line, '\s', '', 'g')) = 0 OR len(regexp_replace(line, '[^\p{L}]', '', 'g')) * 2 < len(regexp_replace(line, '\s', '', 'g'))) AS noise,
-  count(*) FILTER (WHERE regexp_matches(lower(trim(line)), '^[#\d. ]*(appendix|appendices|supplementary material)\b')) AS appendix FROM l GROUP BY doc_id""")
+  count(*) FILTER (WHERE regexp_matches(lower(strip(line)), '^[#\d. ]*(appendix|appendices|supplementary material)\b')) AS appendix FROM l GROUP BY doc_id""")
 def line_classes(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.groupBy("doc_id").agg(F.count(F.when(exemplars.is_noise(F.col("line")), 1)).alias("noise"), F.count(F.when(exemplars.is_appendix_heading(F.col("line")), 1)).alias("appendix"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioforge.functions.text import WHITE
+
 MODULES = ("retrieval", "textual", "tables", "shaping", "inventory")
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +17,19 @@ _PLANS: dict[str, Plan] = {}
 _SQL: dict[str, str] = {}
 
 
+def spelled_out(sql: str) -> str:
+    """``sql`` with each "strip(x)" as a regular expression that takes off white space of any kind."""
+    while (at := sql.find("strip(")) >= 0:
+        depth, end = 0, at + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        sql = f"{sql[:at]}regexp_replace({sql[at + 6 : end - 1]}, '^[{WHITE}]+|[{WHITE}]+$', '', 'g'){sql[end:]}"
+    return sql
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
     """Register the decorated function as query ``name``."""
 
@@ -23,7 +38,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
             raise ValueError(f"query {name} is registered twice")
         _PLANS[name] = plan
         if sql is not None:
-            _SQL[name] = sql
+            _SQL[name] = spelled_out(sql)
         return plan
 
     return add

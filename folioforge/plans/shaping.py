@@ -21,8 +21,8 @@ def _q(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("pf3_view_labels", r"""
-SELECT DISTINCT view_label, CASE WHEN trim(regexp_replace(lower(view_label), '\s+', ' ', 'g')) IN ('experiment', 'experiments', 'result', 'results', 'experiment/result', 'experiments/results')
-  THEN 'experiment/result' ELSE trim(regexp_replace(lower(view_label), '\s+', ' ', 'g')) END AS folded FROM golden_query_embeddings""")
+SELECT DISTINCT view_label, CASE WHEN strip(regexp_replace(lower(view_label), '\s+', ' ', 'g')) IN ('experiment', 'experiments', 'result', 'results', 'experiment/result', 'experiments/results')
+  THEN 'experiment/result' ELSE strip(regexp_replace(lower(view_label), '\s+', ' ', 'g')) END AS folded FROM golden_query_embeddings""")
 def view_labels(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "golden_query_embeddings").select("view_label").distinct()
     return x.withColumn("folded", tx.view_label(F.col("view_label")))
@@ -96,7 +96,7 @@ def sentence_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("s26_snippets", r"""
-SELECT doc_id, CASE WHEN len(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t FROM documents)""")
+SELECT doc_id, CASE WHEN len(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END AS snippet FROM (SELECT doc_id, strip(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t FROM documents)""")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", exemplars.snippet(F.col("text"), 200).alias("snippet"))
 
@@ -113,7 +113,7 @@ def retrieval_texts(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", F.concat_ws(" ", F.nullif(F.trim("title"), F.lit("")), F.nullif(F.trim("abstract"), F.lit(""))).alias("t")).distinct()
 
 
-@query("g2_note_entries", "SELECT doc_id, 'Note/' || k AS path, v AS text FROM (SELECT doc_id, 'kind' AS k, doc_kind AS v FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents) WHERE length(trim(v)) > 0")
+@query("g2_note_entries", "SELECT doc_id, 'Note/' || k AS path, v AS text FROM (SELECT doc_id, 'kind' AS k, doc_kind AS v FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents) WHERE length(strip(v)) > 0")
 def note_entries(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents")
     e = notes.entries(F.array(F.lit("kind"), F.lit("source")), F.array("doc_kind", "source"), F.lit("Note"))

@@ -49,17 +49,17 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("sc4_corpus_papers", r"""
-WITH r AS (SELECT DISTINCT representation_type, regexp_replace(regexp_replace(trim(paper_id), '\.restored$', ''), '\.docling$', '') AS paper_id, source_path, row_no, text
-           FROM paper_records WHERE length(trim(text)) > 0)
-SELECT representation_type, paper_id, trim(string_agg(text, chr(10) || chr(10) ORDER BY source_path, row_no)) AS text, list_sort(list_distinct(list(source_path))) AS source_paths
+WITH r AS (SELECT DISTINCT representation_type, regexp_replace(regexp_replace(strip(paper_id), '\.restored$', ''), '\.docling$', '') AS paper_id, source_path, row_no, text
+           FROM paper_records WHERE length(text) > 0)
+SELECT representation_type, paper_id, strip(string_agg(text, chr(10) || chr(10) ORDER BY source_path, row_no)) AS text, list_sort(list_distinct(list(source_path))) AS source_paths
 FROM r GROUP BY ALL""")
 def corpus_papers(spark: SparkSession, d: str) -> DataFrame:
     return readers.corpus_papers(table(spark, d, "paper_records").distinct(), ["source_path", "row_no"])
 
 
 @query("sc5_query_records", """
-WITH v AS (SELECT id, trim(query_key) AS query_id, trim(query_text) AS query_text, trim(paper_id) AS target_paper_id, source_view AS aspect_group FROM candidate_queue
-           WHERE length(trim(query_key)) > 0 AND length(trim(query_text)) > 0 AND length(trim(paper_id)) > 0)
+WITH v AS (SELECT id, strip(query_key) AS query_id, strip(query_text) AS query_text, strip(paper_id) AS target_paper_id, source_view AS aspect_group FROM candidate_queue
+           WHERE length(strip(query_key)) > 0 AND length(strip(query_text)) > 0 AND length(strip(paper_id)) > 0)
 SELECT query_id, query_text, target_paper_id, aspect_group FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) = 1""")
 def query_records(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "candidate_queue").where("length(trim(query_key)) > 0").select("query_key", "query_text", "paper_id", "source_view", F.col("id").alias("pos"))
@@ -67,8 +67,8 @@ def query_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("sc7_one_query_records", """
-WITH v AS (SELECT id, trim(query_key) AS query_id, trim(query_text) AS query_text, trim(paper_id) AS target_paper_id, source_view AS aspect_group FROM candidate_queue
-           WHERE length(trim(query_key)) > 0 AND length(trim(query_text)) > 0 AND length(trim(paper_id)) > 0 AND source_view = 'method')
+WITH v AS (SELECT id, strip(query_key) AS query_id, strip(query_text) AS query_text, strip(paper_id) AS target_paper_id, source_view AS aspect_group FROM candidate_queue
+           WHERE length(strip(query_key)) > 0 AND length(strip(query_text)) > 0 AND length(strip(paper_id)) > 0 AND source_view = 'method')
 SELECT query_id, query_text, target_paper_id, aspect_group FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) = 1""")
 def one_query_records(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "candidate_queue").where("length(trim(query_key)) > 0 AND source_view = 'method'")
@@ -91,7 +91,7 @@ def embedding_map(spark: SparkSession, d: str) -> DataFrame:
     return x.select("key", "position", F.round(F.col("vector")[0], 6).alias("first_number"))
 
 
-@query("sc10_ids_in_order", "SELECT trim(paper_id) AS paper_id, min(id) AS first_position FROM candidate_queue GROUP BY 1")
+@query("sc10_ids_in_order", "SELECT strip(paper_id) AS paper_id, min(id) AS first_position FROM candidate_queue GROUP BY 1")
 def ids_in_order(spark: SparkSession, d: str) -> DataFrame:
     return readers.ids_in_order(table(spark, d, "candidate_queue"), "paper_id", "id")
 
@@ -208,7 +208,7 @@ def first_place_last_value(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.first_place_last_value(_q(spark, d), ["paper_id"], "id", ["candidate_title"])
 
 
-@query("st4_unique_titles", Q + r""", t AS (SELECT query_key, id, trim(regexp_replace(lower(candidate_title), '\s+', ' ', 'g')) AS title FROM q WHERE query_key IS NOT NULL),
+@query("st4_unique_titles", Q + r""", t AS (SELECT query_key, id, strip(regexp_replace(lower(candidate_title), '\s+', ' ', 'g')) AS title FROM q WHERE query_key IS NOT NULL),
 f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY query_key, title ORDER BY id) = 1)
 SELECT query_key, id FROM f QUALIFY row_number() OVER (PARTITION BY query_key ORDER BY id) <= 10""")
 def unique_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +216,7 @@ def unique_titles(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.unique_titles(x, ["query_key"], tx.title_key(F.col("candidate_title")), ["id"], 10).select("query_key", "id")
 
 
-@query("st5_unique_listings", "SELECT coalesce(nullif(replace(trim(arxiv_id), '/', '_'), ''), substr(sha1(coalesce(paper_title, '')), 1, 12)) AS paper_id, min(hn_id) AS hn_id FROM hard_negative_papers GROUP BY 1")
+@query("st5_unique_listings", "SELECT coalesce(nullif(replace(strip(arxiv_id), '/', '_'), ''), substr(sha1(coalesce(paper_title, '')), 1, 12)) AS paper_id, min(hn_id) AS hn_id FROM hard_negative_papers GROUP BY 1")
 def unique_listings(spark: SparkSession, d: str) -> DataFrame:
     from folioforge.functions.keys import listing_paper_id
 

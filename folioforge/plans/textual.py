@@ -11,7 +11,7 @@ from folioforge.operators import chunking, dedupe, style
 from folioforge.plans.registry import query
 from folioforge.sources import table
 
-WS = r"[ \t\n\x0b\f\r]+"
+WS = f"[{tx.WHITE}]+"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -20,19 +20,19 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pf1_aspect_view", """
 WITH v AS (SELECT source_view, count(*) AS n FROM candidate_queue GROUP BY source_view
-           UNION ALL SELECT * FROM (VALUES (' Experiment_Result ', 1::BIGINT), ('experiment', 1), ('result', 1), (NULL, 1)))
-SELECT source_view, n, CASE WHEN replace(lower(trim(source_view)), '_', '/') = 'experiment' THEN 'experiment/result'
-  WHEN replace(lower(trim(source_view)), '_', '/') IN ('motivation', 'method', 'experiment/result') THEN replace(lower(trim(source_view)), '_', '/') END AS aspect,
-  CASE WHEN replace(lower(trim(source_view)), '_', '/') = 'experiment' THEN 'experiment/result' ELSE replace(lower(trim(source_view)), '_', '/') END AS loose
+           UNION ALL SELECT * FROM (VALUES (' Experiment_Result ', 1::BIGINT), ('experiment', 1), ('result', 1), (NULL, 1), ('method' || chr(10), 1), (chr(160) || 'motivation', 1)))
+SELECT source_view, n, CASE WHEN replace(lower(strip(source_view)), '_', '/') = 'experiment' THEN 'experiment/result'
+  WHEN replace(lower(strip(source_view)), '_', '/') IN ('motivation', 'method', 'experiment/result') THEN replace(lower(strip(source_view)), '_', '/') END AS aspect,
+  CASE WHEN replace(lower(strip(source_view)), '_', '/') = 'experiment' THEN 'experiment/result' ELSE replace(lower(strip(source_view)), '_', '/') END AS loose
 FROM v""")
 def aspect_view(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "candidate_queue").groupBy("source_view").agg(F.count("*").alias("n"))
-    extra = spark.createDataFrame([(" Experiment_Result ", 1), ("experiment", 1), ("result", 1), (None, 1)], "source_view string, n long")
+    extra = spark.createDataFrame([(" Experiment_Result ", 1), ("experiment", 1), ("result", 1), (None, 1), ("method\n", 1), ("\u00a0motivation", 1)], "source_view string, n long")
     return x.unionByName(extra).select("source_view", "n", tx.aspect_view(F.col("source_view")).alias("aspect"), tx.aspect_view(F.col("source_view"), reject=False).alias("loose"))
 
 
 @query("pf4_canonical_id", """
-SELECT id, regexp_replace(regexp_replace(trim(id || sfx), '\\.restored$', ''), '\\.docling$', '') AS canonical
+SELECT id, regexp_replace(regexp_replace(strip(id || sfx), '\\.restored$', ''), '\\.docling$', '') AS canonical
 FROM (SELECT DISTINCT id FROM openreview_papers), (VALUES ('.docling'), ('.docling.restored'), ('.restored.docling'), (' ')) t(sfx)""")
 def canonical_id(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "openreview_papers").select("id").distinct()
@@ -56,7 +56,7 @@ def char_limit(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).join(F.broadcast(policy), "doc_kind").select("doc_id", F.length(F.substring("text", F.lit(1), F.col("lim"))).alias("kept"), "doc_kind")
 
 
-@query("pf22_flags", "SELECT is_multimodal, count(*) AS n, coalesce(lower(trim(is_multimodal)) IN ('1', 'true', 'yes', 'y', 'on'), false) AS flag FROM candidate_queue GROUP BY is_multimodal")
+@query("pf22_flags", "SELECT is_multimodal, count(*) AS n, coalesce(lower(strip(is_multimodal)) IN ('1', 'true', 'yes', 'y', 'on'), false) AS flag FROM candidate_queue GROUP BY is_multimodal")
 def flags(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "candidate_queue").groupBy("is_multimodal").agg(F.count("*").alias("n"))
     return x.withColumn("flag", tx.truthy(F.col("is_multimodal")))
@@ -109,7 +109,7 @@ EVIDENCE_SQL = r"""
 WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{ref}', 1)) AS kind, unnest(regexp_extract_all(text, '{ref}', 2)) AS label,
              generate_subscripts(regexp_extract_all(text, '{ref}', 1), 1) AS i FROM documents),
 p AS (SELECT doc_id, i, CASE WHEN lower(kind) LIKE 'fig%' THEN 'Figure' WHEN lower(kind) LIKE 'tab%' THEN 'Table' WHEN lower(kind) LIKE 'eq%' THEN 'Equation' ELSE 'Algorithm' END AS kind,
-             string_split_regex(label, '\s*(,|\band\b)\s*') AS parts FROM m),
+             string_split_regex(label, '(?i)\s*(,|and)\s*') AS parts FROM m),
 u AS (SELECT doc_id, i, kind, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM p),
 r AS (SELECT doc_id, kind || ' ' || regexp_replace(part, '\s+', '', 'g') AS ref, min(i * 1000 + j) AS place FROM u WHERE regexp_replace(part, '\s+', '', 'g') <> '' GROUP BY ALL)
 SELECT doc_id, list(ref ORDER BY place) AS refs FROM r GROUP BY doc_id
@@ -146,9 +146,9 @@ def evidence_rule(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("s10_cleaned_queries", r"""
-SELECT example_id, any_value(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(replace(query_text, '(multimodal)', '')),
+SELECT example_id, any_value(strip(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip(replace(query_text, '(multimodal)', '')),
   '(?i)\b(?:fig(?:ure)?|table|eq(?:uation)?|alg(?:orithm)?)\.?\s*\(?\s*[A-Za-z]?\d+(?:\.\d+)?\s*\)?', '', 'g'), '(?i)\bappendix\b\s*[A-Za-z0-9. -]*', '', 'g'),
-  '\s+', ' ', 'g'), '\s+([?.!,])', '\1', 'g'))) AS cleaned FROM golden_query_embeddings GROUP BY example_id""")
+  '[{white}]+', ' ', 'g'), ' +([?.!,])', '\1', 'g'))) AS cleaned FROM golden_query_embeddings GROUP BY example_id""".replace("{white}", tx.WHITE))
 def cleaned_queries(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "golden_query_embeddings").select("example_id", "query_text").dropDuplicates(["example_id"])
     return x.select("example_id", tx.cleaned_query(F.col("query_text")).alias("cleaned"))
@@ -202,7 +202,7 @@ def tags_stripped(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("s21_label_lists", """
-SELECT id, list_transform(keywords_extracted::JSON::VARCHAR[], lambda k: trim(k)) AS labels FROM (SELECT id, any_value(keywords_extracted) AS keywords_extracted FROM candidate_queue GROUP BY id)
+SELECT id, list_transform(keywords_extracted::JSON::VARCHAR[], lambda k: strip(k)) AS labels FROM (SELECT id, any_value(keywords_extracted) AS keywords_extracted FROM candidate_queue GROUP BY id)
 """)
 def label_lists(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "candidate_queue").dropDuplicates(["id"])
@@ -222,8 +222,8 @@ def rendered_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("s22_labeled_content", """
-SELECT DISTINCT example_id, concat_ws(chr(10), CASE WHEN len(trim(query_text)) > 0 THEN 'Query: ' || trim(query_text) END,
-  CASE WHEN len(trim(answer_tldr)) > 0 THEN 'TLDR: ' || trim(answer_tldr) END, CASE WHEN len(trim(human_view_note)) > 0 THEN 'Note: ' || trim(human_view_note) END) AS content
+SELECT DISTINCT example_id, concat_ws(chr(10), CASE WHEN len(strip(query_text)) > 0 THEN 'Query: ' || strip(query_text) END,
+  CASE WHEN len(strip(answer_tldr)) > 0 THEN 'TLDR: ' || strip(answer_tldr) END, CASE WHEN len(strip(human_view_note)) > 0 THEN 'Note: ' || strip(human_view_note) END) AS content
 FROM golden_query_embeddings""")
 def labeled_content(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "golden_query_embeddings")
@@ -255,7 +255,7 @@ def query_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("x13_listing_ids", """
-SELECT DISTINCT hn_id, coalesce(nullif(replace(trim(arxiv_id), '/', '_'), ''), substr(sha1(coalesce(paper_title, '')), 1, 12)) AS paper_id FROM hard_negative_papers""")
+SELECT DISTINCT hn_id, coalesce(nullif(replace(strip(arxiv_id), '/', '_'), ''), substr(sha1(coalesce(paper_title, '')), 1, 12)) AS paper_id FROM hard_negative_papers""")
 def listing_ids(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "hard_negative_papers")
     return x.select("hn_id", keys.listing_paper_id(F.col("arxiv_id"), F.col("paper_title")).alias("paper_id")).distinct()
@@ -270,7 +270,7 @@ def stable_field_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("s11_templates", "SELECT DISTINCT query_text, CASE " + " ".join(
-    f"WHEN regexp_matches(lower(trim(query_text)), '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for p, n in style.QUESTION_TEMPLATES) + " END AS template FROM candidate_queue")
+    f"WHEN regexp_matches(lower(strip(query_text)), '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for p, n in style.QUESTION_TEMPLATES) + " END AS template FROM candidate_queue")
 def templates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "candidate_queue").select("query_text").distinct().withColumn("template", style.question_template(F.col("query_text")))
 

@@ -52,14 +52,14 @@ def existing_query_paths(combined: str, parts: Sequence[str]) -> list[str]:
 def corpus_papers(rows: DataFrame, order: Sequence[str], max_papers: int | None = None) -> DataFrame:
     """(representation_type, paper_id, text, source_path, order...) rows to one text a paper.
 
-    Ids are canonicalised, blank ids dropped; non-blank parts are joined by a blank line in
-    ``order`` and stripped; papers with only blank parts vanish. ``max_papers`` keeps the
+    Ids are canonicalised, blank ids dropped; parts that aren't empty are joined by a blank line in
+    ``order`` and the whole is stripped; papers without any such part vanish. ``max_papers`` keeps the
     first ids in order. A paper's parts meet in one task, as its text is one value.
     """
-    x = rows.withColumn("paper_id", tx.canonical_id(F.col("paper_id"))).where("length(paper_id) > 0 AND length(trim(text)) > 0")
-    parts = F.array_sort(F.collect_list(F.struct(*order, "text")))
+    x = rows.withColumn("paper_id", tx.canonical_id(F.col("paper_id"))).where("length(paper_id) > 0")
+    parts = F.array_sort(F.collect_list(F.when(F.length("text") > 0, F.struct(*order, "text"))))
     out = x.groupBy("representation_type", "paper_id").agg(
-        F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n")).alias("text"),
+        tx.stripped(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n")).alias("text"),
         F.array_sort(F.collect_set("source_path")).alias("source_paths"),
     )
     return out.orderBy("paper_id").limit(max_papers) if max_papers is not None else out
