@@ -46,6 +46,28 @@ def test_reliability_beats_majority(spark, rng):
     assert all(0 <= r.low <= r.reliability <= r.high <= 1 for r in rel.values())
 
 
+def test_any_number_of_raters_gives_the_same(spark, rng, monkeypatch):
+    votes = C.feedback_votes(feedback(spark, simulated(rng, 40)[1] + [("q1", "cand_01", n, j) for n, j in (("good1", "right"), ("bad1", "wrong"), ("z", "ok"))]))
+
+    def run():
+        items, confusion = C.variational_consensus(votes, C.FEEDBACK_CLASSES)
+        at = {(r.item_a, r.item_b): (r.label, r.n_votes, r.settled, *(round(v, 6) for v in r.q[:2])) for r in items.collect()}
+        return at, {tuple(r[:4]): round(r.alpha, 6) for r in confusion.collect()}
+
+    small = run()
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 0)
+    assert run() == small and all(v[2] for v in small[0].values())
+
+
+def test_a_cut_off_run_says_so_and_unreadable_judgements_are_reported(spark, rng):
+    rows = simulated(rng, 30)[1]
+    items, _ = C.variational_consensus(C.feedback_votes(feedback(spark, rows)), C.FEEDBACK_CLASSES, rounds=1, tolerance=1e-9)
+    assert {r.settled for r in items.collect()} == {False}
+    odd = [("q", "human_like", "b", "perhaps"), ("q", "human_like", "c", "Perhaps!"), ("q", "human_like", "c", None), ("q", "x", "c", "yes")]
+    got = {(r.family, r.words): r.n for r in C.unreadable_judgements(feedback(spark, rows + odd)).collect()}
+    assert got == {("human_like", "perhaps"): 2, ("human_like", None): 1, (None, "yes"): 1}
+
+
 def test_confidence_is_a_probability_and_minimum_holds(spark):
     rows = [("q", "human_like", n, "yes") for n in "abc"] + [("r", "human_like", n, "no") for n in "ab"]
     got = C.feedback_consensus(feedback(spark, rows)).collect()
