@@ -3,17 +3,21 @@
 Unit vectors are cut into two halves, and each half is quantised with its own centroids
 (fitted on a bounded sample; every distinct pair of item and vector is indexed). A cell is
 a pair of centroids. For a query, cells are visited in order of the summed squared distance
-of the two halves to their centroids, drawn from a heap, until the visited cells hold
-``candidates`` different items. With a least similarity there is no such budget: every
+of the two halves to their centroids, drawn from a heap, until the visited cells hold a
+budget of different items. The budget follows from a wanted recall: for a bounded sample of
+the queries the true neighbours are found by a scan, and the budget is what the walk
+needs to meet all but a share of them. With a least similarity there is no budget: every
 cell that can hold a vector within the distance it allows is visited, so nothing is lost.
 The vectors found are reranked by exact cosine in double precision.
 
-Distribution: index rows and query visits meet on the first-half centroid. Centroids
-with many rows are split into numbered parts by id hash (queries go to every part), and
-centroids with many visits into numbered query shares (index rows go to every share), so
-one dense spot, or a third of all rows in one cell, spreads over many tasks. Only the
-centroid tables and the cell counts, both bounded by the number of cells, reach the
-driver.
+Distribution: a walk ends in one number, the distance of its last cell, from which the
+tasks that hold the index find the query's cells again. First-half centroids are put
+together to groups of ``PART_ROWS`` rows; a query goes once to every group it visits.
+Centroids with more rows are split into numbered parts by id hash (queries go to every
+part), and groups with many queries into numbered shares (index rows go to every share),
+so one dense spot, or a third of all rows in one cell, spreads over many tasks. Only the
+centroid tables, the cell counts, both bounded by the number of cells, and the sampled
+queries' neighbours reach the driver.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from pyspark.sql import types as T
 from folioforge.session import cut_lineage
 
 SAMPLE_ROWS = 20_000
-CANDIDATES = 5000
+#: wanted share of the true neighbours, the queries sampled to find the budget for it, and the least budget a neighbour wanted
+RECALL, TRIALS, LEAST_BUDGET = 0.97, 100, 50
 PART_ROWS, SHARE_ROWS = 8_000, 20_000
 MAX_CENTROIDS = 512
 #: distances are in single precision; bounds give way by so much
@@ -76,15 +81,15 @@ def _distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return (points**2).sum(1)[:, None] - 2 * points @ centers.T + (centers**2).sum(1)[None, :]
 
 
-def visit_order(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, candidates: int) -> list[tuple[int, int]]:
+def visit_order(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, candidates: int) -> tuple[list[tuple[int, int]], float]:
     """Cells (i, j) in order of d1[i] + d2[j], by the multi-sequence walk over a heap, until the
     occupied cells visited hold ``candidates`` rows or all cells are done. Empty cells are
-    walked through but not returned."""
+    walked through but not returned. Also the last sum, which bounds the walk."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
     s1, s2 = d1[o1].tolist(), d2[o2].tolist()
-    heap, pushed, out, held = [(s1[0] + s2[0], 0, 0)], {(0, 0)}, [], 0
+    heap, pushed, out, held, last = [(s1[0] + s2[0], 0, 0)], {(0, 0)}, [], 0, -1.0
     while heap and held < candidates:
-        _, a, b = heapq.heappop(heap)
+        last, a, b = heapq.heappop(heap)
         i, j = int(o1[a]), int(o2[b])
         if counts[i, j]:
             out.append((i, j))
@@ -93,7 +98,7 @@ def visit_order(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, candidates:
             if x < len(s1) and y < len(s2) and (x, y) not in pushed:
                 pushed.add((x, y))
                 heapq.heappush(heap, (s1[x] + s2[y], x, y))
-    return out
+    return out, last
 
 
 def half_bounds(d: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -107,16 +112,44 @@ def half_bounds(d: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def reachable(d1: np.ndarray, d2: np.ndarray, planes1: np.ndarray, planes2: np.ndarray, far: np.ndarray, min_similarity: float) -> np.ndarray:
-    """Whether each cell (i, j) may hold a unit vector of at least ``min_similarity`` to one query.
+    """Whether the cells of one first-half centroid may hold a unit vector of at least
+    ``min_similarity``, for each query (rows) and second-half centroid (columns).
 
-    ``d1`` and ``d2`` are squared distances to the centroids, ``planes`` are ``half_bounds`` and
-    ``far`` has the largest distance of a cell's vectors to its two centroids, -1 if it has none."""
+    ``d1`` (a number a query) and ``d2`` are squared distances to the centroids, ``planes`` are
+    ``half_bounds`` and ``far`` has the largest distance of a cell's vectors to its two
+    centroids, -1 if it has none."""
     low1 = np.maximum(np.sqrt(np.maximum(d1, 0))[:, None] - far[0], planes1[:, None])
-    low2 = np.maximum(np.sqrt(np.maximum(d2, 0))[None, :] - far[1], planes2[None, :])
+    low2 = np.maximum(np.sqrt(np.maximum(d2, 0)) - far[1], planes2)
     low1, low2 = np.maximum(low1 - ROUNDING, 0), np.maximum(low2 - ROUNDING, 0)
     return (far[0] >= 0) & (low1**2 + low2**2 <= 2 - 2 * min_similarity)
 
 
+def budget_for(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, cells: list[list[tuple[int, int]]], recall: float) -> int:
+    """Different items a walk must hold to meet all but 1 - ``recall`` of the neighbours, whose
+    cells are listed for each query."""
+    need = []
+    for r, wanted in enumerate(cells):
+        sums = (d1[r][:, None] + d2[r][None, :]).ravel()
+        order = np.argsort(sums, kind="stable")
+        held = np.cumsum(counts.ravel()[order])
+        at = np.searchsorted(sums[order], [sums[i * counts.shape[1] + j] for i, j in wanted], side="right") - 1
+        need += held[at].tolist()
+    return int(np.quantile(need, recall, method="higher")) if need else 0
+
+
+def centroid_groups(held: np.ndarray, part_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each first-half centroid, parts of each group): neighbours in number share a group
+    while they hold ``part_rows`` rows together; larger ones stand alone, in parts."""
+    group, parts, room = np.zeros(len(held), np.int64), [], 0
+    for i, n in enumerate(held):
+        if n > room:
+            parts.append(max(1, int(-(-n // part_rows))))
+            room = part_rows if n <= part_rows else 0
+        room -= min(n, room)
+        group[i] = len(parts) - 1 if parts else 0
+    return group, np.array(parts or [1], np.int64)
+
+
 def best_columns(sim: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the ``k`` greatest numbers of each row that are at least ``least``; ties
     to the smaller column."""
@@ -134,7 +167,8 @@ def nearest(
     dim: int,
     k: int = 10,
     min_similarity: float | None = None,
-    candidates: int = CANDIDATES,
+    recall: float = RECALL,
+    candidates: int | None = None,
     centroids: int | None = None,
     sample_rows: int = SAMPLE_ROWS,
     seed: int = 7,
@@ -145,14 +179,17 @@ def nearest(
     with a null id or an unusable vector (null, wrong size, null or non-finite numbers, all
     zero) take no part. An item with several vectors counts once, with the most similar; so
     does a query that came several times. Ties: smaller item_id first. An empty side gives
-    no rows. Extra columns are ignored. With ``min_similarity`` the result is exact.
+    no rows. Extra columns are ignored. With ``min_similarity`` the result is exact; without,
+    ``recall`` is the wanted share of true neighbours, as measured on ``TRIALS`` queries, unless
+    ``candidates`` gives the different items that a walk must hold.
     """
     spark = index.sparkSession
     floats = T.ArrayType(T.FloatType())
     base = index.select(F.col("item_id").cast("string").alias("item_id"), F.col("vector").cast(floats).alias("vector"))
     base = cut_lineage(base.where(F.col("item_id").isNotNull() & usable(F.col("vector"), dim)).dropDuplicates(["item_id", "vector"]))
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast(floats).alias("vector"))
-    asked = asked.where(F.col("query_id").isNotNull() & usable(F.col("vector"), dim))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = asked.where(F.col("query_id").isNotNull() & usable(F.col("vector"), dim)).repartition(tasks, "query_id").dropDuplicates(["query_id", "vector"])
     out_schema = "query_id string, item_id string, similarity double"
 
     n = base.count()
@@ -160,8 +197,7 @@ def nearest(
         return spark.createDataFrame([], out_schema + ", rank int")
     kc = centroids or centroids_for(n)
     # The bounded fitting sample: the rows of smallest hash, whatever the partitioning.
-    part = base if n <= sample_rows else base.where(F.pmod(F.xxhash64("item_id", "vector"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.2 * sample_rows / n)))
-    sample = part.select("vector").limit(sample_rows).toPandas()["vector"]
+    sample = base.select("vector", F.xxhash64("item_id", "vector").alias("h")).orderBy("h").limit(sample_rows).toPandas()["vector"]
     fit = _unit(np.stack([np.asarray(v, np.float32) for v in sample])).astype(np.float32)
     half = dim // 2
     c1, c2 = _kmeans(fit[:, :half], kc, seed), _kmeans(fit[:, half:], kc, seed + 1)
@@ -181,86 +217,108 @@ def nearest(
     for row in by_cell.collect():  # at most kc * kc rows
         at = row["i"], row["j"]
         counts[at], held[at], far[0][at], far[1][at] = row["items"], row["n"], row["far1"], row["far2"]
-    parts = np.maximum(1, -(-held.sum(1) // PART_ROWS))
+    group, parts = centroid_groups(held.sum(1), PART_ROWS)
+
+    def cell_tests(u: np.ndarray, t: np.ndarray, only: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """First-half centroid and the cells that each query visits: within its walk, or in reach."""
+        d1, d2 = _distances(u[:, :half], c1), _distances(u[:, half:], c2)
+        if min_similarity is not None:
+            planes1, planes2 = half_bounds(d1, c1), half_bounds(d2, c2)
+        for i in np.flatnonzero((counts > 0).any(1)) if only is None else only:
+            if min_similarity is None:
+                yield i, (counts[i] > 0) & (d1[:, i : i + 1] + d2 <= t[:, None])
+            else:
+                yield i, reachable(d1[:, i], d2, planes1[:, i], planes2, far[:, i], min_similarity)
+
+    budget = candidates or 0
+    if min_similarity is None and candidates is None:
+        trial = asked.orderBy(F.xxhash64("query_id", "vector")).limit(TRIALS).toPandas()
+        if len(trial):
+            probes = _unit(np.stack(trial["vector"].to_numpy()))
+            near = _distances(probes[:, :half].astype(np.float32), c1), _distances(probes[:, half:].astype(np.float32), c2)
+
+            def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    if len(pdf):
+                        sim = probes @ _unit(np.stack(pdf["vector"].to_numpy())).T
+                        x, y = best_columns(sim, k, None)
+                        yield pd.DataFrame({"q": x, "item_id": pdf["item_id"].to_numpy()[y], "i": pdf["i"].to_numpy()[y], "j": pdf["j"].to_numpy()[y], "s": sim[x, y]})
+
+            hits = placed.mapInPandas(scan, "q int, item_id string, i int, j int, s double")
+            hits = hits.groupBy("q", "item_id").agg(F.max_by(F.struct("i", "j"), "s").alias("cell"), F.max("s").alias("s"))
+            true = hits.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "cell")), asc=False), 1, k).alias("top")).collect()
+            cells = {r["q"]: [(c["cell"]["i"], c["cell"]["j"]) for c in r["top"]] for r in true}  # at most TRIALS * k
+            budget = max(budget_for(*near, counts, [cells.get(r, []) for r in range(len(trial))], recall), LEAST_BUDGET * k)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, vectors, first, cells = [], [], [], []
-            if len(pdf):
-                u = _unit(np.stack(pdf["vector"].to_numpy())).astype(np.float32)
+            if not len(pdf):
+                continue
+            u = _unit(np.stack(pdf["vector"].to_numpy())).astype(np.float32)
+            t = np.full(len(u), np.inf)
+            if min_similarity is None:
                 d1, d2 = _distances(u[:, :half], c1), _distances(u[:, half:], c2)
-                planes1, planes2 = half_bounds(d1, c1), half_bounds(d2, c2)
-            for r, (qid, vector) in enumerate(zip(pdf["query_id"], pdf["vector"])):
-                by_first: dict[int, list[int]] = {}
-                if min_similarity is None:
-                    for i, j in visit_order(d1[r], d2[r], counts, candidates):
-                        by_first.setdefault(i, []).append(j)
-                else:
-                    may = reachable(d1[r], d2[r], planes1[r], planes2[r], far, min_similarity)
-                    by_first = {int(i): np.flatnonzero(may[i]).tolist() for i in np.flatnonzero(may.any(1))}
-                for i, js in by_first.items():
-                    ids.append(qid)
-                    vectors.append(vector)
-                    first.append(i)
-                    cells.append(js)
-            if ids:
-                yield pd.DataFrame({"query_id": ids, "vector": vectors, "i": np.array(first, np.int32), "cells": cells})
-
-    visits = asked.dropDuplicates(["query_id", "vector"]).mapInPandas(visit, "query_id string, vector array<float>, i int, cells array<int>")
-    asked_at = np.zeros(kc, np.int64)
-    for row in visits.groupBy("i").count().collect():  # at most kc rows
-        asked_at[row["i"]] = row["count"]
+                # the tasks that hold the index may round otherwise
+                t = np.array([visit_order(d1[r], d2[r], counts, budget)[1] for r in range(len(u))]) + 1e-5
+            to = np.zeros((len(u), len(parts)), bool)
+            for i, may in cell_tests(u, t):
+                to[:, group[i]] |= may.any(1)
+            r, g = np.nonzero(to)
+            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[r], "vector": pdf["vector"].to_numpy()[r], "t": t[r], "g": g})
+
+    visits = cut_lineage(asked.mapInPandas(visit, "query_id string, vector array<float>, t double, g int"))
+    asked_at = np.zeros(len(parts), np.int64)
+    for row in visits.groupBy("g").count().collect():  # at most kc rows
+        asked_at[row["g"]] = row["count"]
     shares = np.maximum(1, -(-asked_at // SHARE_ROWS))
-    plan = spark.createDataFrame([(i, int(parts[i]), int(shares[i])) for i in range(kc)], "i int, parts int, shares int")
+    plan = spark.createDataFrame([(i, int(group[i]), int(parts[group[i]]), int(shares[group[i]])) for i in range(kc)], "i int, g int, parts int, shares int")
 
     b = placed.join(F.broadcast(plan), "i")  # kc rows
     b = b.withColumn("part", F.pmod(F.xxhash64("item_id", "vector"), F.col("parts")).cast("int"))
-    b = b.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("i", "part", "share", "item_id", "vector", "j")
-    v = visits.join(F.broadcast(plan), "i")
+    b = b.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("g", "part", "share", "item_id", "vector", "i", "j")
+    v = visits.join(F.broadcast(plan.select("g", "parts", "shares").distinct()), "g")
     v = v.withColumn("share", F.pmod(F.xxhash64("query_id"), F.col("shares")).cast("int"))
-    v = v.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("i", "part", "share", "query_id", "vector", "cells")
+    v = v.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("g", "part", "share", "query_id", "vector", "t")
 
     def rerank(qs: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype=object), "item_id": pd.Series(dtype=object), "similarity": pd.Series(dtype=float)})
         if qs.empty or items.empty:
             return empty
-        items = items.sort_values(["j", "item_id"], kind="stable")
-        js = items["j"].to_numpy()
+        items = items.sort_values(["i", "j", "item_id"], kind="stable")
         ids = items["item_id"].to_numpy()
         m = _unit(np.stack(items["vector"].to_numpy()))
-        cells, starts = np.unique(js, return_index=True)
-        ends = np.append(starts[1:], len(js))
+        cells, starts = np.unique(items["i"].to_numpy().astype(np.int64) * kc + items["j"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(ids))
         at = {int(c): (int(s), int(e)) for c, s, e in zip(cells, starts, ends)}
         q = _unit(np.stack(qs["vector"].to_numpy()))
-        by_cell: dict[int, list[int]] = {}
-        for r, wanted in enumerate(qs["cells"]):
-            for c in wanted:
-                if int(c) in at:
-                    by_cell.setdefault(int(c), []).append(r)
         rows, cols, sims = [], [], []
-        for c, rs in by_cell.items():
-            s, e = at[c]
-            firsts = np.flatnonzero(np.append(True, ids[s + 1 : e] != ids[s : e - 1]))
-            step = max(1, 4_000_000 // (e - s))
-            for lo in range(0, len(rs), step):
-                block = np.array(rs[lo : lo + step])
-                # an item counts once, by its best vector
-                sim = np.maximum.reduceat(q[block] @ m[s:e].T, firsts, axis=1)
-                x, y = best_columns(sim, k, min_similarity)
-                rows.append(block[x])
-                cols.append(s + firsts[y])
-                sims.append(sim[x, y])
+        for i, may in cell_tests(q.astype(np.float32), qs["t"].to_numpy(), np.unique(cells // kc)):
+            for j in np.flatnonzero(may.any(0)):
+                if (cell := at.get(int(i) * kc + int(j))) is None:
+                    continue
+                s, e = cell
+                rs = np.flatnonzero(may[:, j])
+                firsts = np.flatnonzero(np.append(True, ids[s + 1 : e] != ids[s : e - 1]))
+                step = max(1, 4_000_000 // (e - s))
+                for lo in range(0, len(rs), step):
+                    block = rs[lo : lo + step]
+                    # an item counts once, by its best vector
+                    sim = np.maximum.reduceat(q[block] @ m[s:e].T, firsts, axis=1)
+                    x, y = best_columns(sim, k, min_similarity)
+                    rows.append(block[x])
+                    cols.append(s + firsts[y])
+                    sims.append(sim[x, y])
         if not rows:
             return empty
         found = pd.DataFrame({"query_id": qs["query_id"].to_numpy()[np.concatenate(rows)], "item_id": ids[np.concatenate(cols)], "similarity": np.concatenate(sims)})
         found = found.sort_values(["query_id", "similarity", "item_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "item_id"])
         return found.groupby("query_id", sort=False).head(k)
 
-    keys = ["i", "part", "share"]
+    keys = ["g", "part", "share"]
     found = v.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(rerank, out_schema)
     best = found.groupBy("query_id", "item_id").agg(F.max("similarity").alias("similarity"))
     top = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "item_id")))
-    # at most k rows from each visited first-half centroid and part
+    # at most k rows from each visited group and part
     per = best.groupBy("query_id").agg(F.slice(top, 1, k).alias("top"))
     return per.select("query_id", F.posexplode("top").alias("pos", "t")).select(
         "query_id", F.col("t.item_id").alias("item_id"), (-F.col("t.s")).alias("similarity"), (F.col("pos") + 1).alias("rank")
