@@ -5,10 +5,12 @@ NUL characters are removed. Three stages:
 
 1. *Row profile* (map side): token count of every row and its boundaries, packed as
    (token index, strength) pairs; the text itself stays where it is.
-2. *Plan*: a running token count gives each row its place in its item; profiles are
-   grouped per item and block of ``block_tokens`` tokens (so no item, however long, is
-   gathered as a whole) and bisected. A block holds numbers only, about a twentieth of
-   the text.
+2. *Plan*: a running token count gives each row its place in its item. Rows are ordered by
+   ranges, so the rows of one item may lie in many tasks, each of which adds the tokens of
+   the tasks before it. Items of at most ``block_tokens`` tokens are bisected in one step
+   from their row profiles, numbers of about a twentieth of the text. Longer ones are
+   first bisected level by level through joins, each cut the same as in one step, until
+   the spans are as short; so the result doesn't depend on how an item was cut up.
 3. *Materialise*: rows are cut into fragments on a fixed token grid and joined with the
    pieces on (item, grid cell); one long item spreads over as many keys as it has cells.
 """
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.staging import spread
+from folioforge.session import cut_lineage
 
 LIMIT, OVERLAP = 512, 128
 BLOCK_TOKENS = 1 << 18
@@ -151,25 +154,78 @@ def row_profiles(rows: DataFrame) -> DataFrame:
     return spread(x).mapInPandas(_profile, schema)
 
 
+ITEM = ["item_kind", "item_id"]
+
+
 def placed_rows(profiles: DataFrame) -> DataFrame:
     """Profiles with ``first_token`` (tokens of the item before the row) and ``item_tokens``;
-    rows delivered twice are dropped. Nothing but numbers crosses the shuffle."""
-    order = ["part", "row_no", "text_hash"]
-    item = Window.partitionBy("item_kind", "item_id")
-    run = item.orderBy(*order)
-    same = F.lag(F.struct(*order)).over(run).eqNullSafe(F.struct(*order)) & (F.row_number().over(run) > 1)
-    x = profiles.withColumn("again", same).where(~F.col("again")).drop("again")
-    before = F.sum("n_tokens").over(run.rowsBetween(Window.unboundedPreceding, -1))
-    return x.withColumn("first_token", F.coalesce(before, F.lit(0))).withColumn("item_tokens", F.sum("n_tokens").over(item))
+    rows delivered twice are dropped. Nothing but numbers crosses the shuffle, and a task sorts
+    a range of rows, not an item."""
+    order = [*ITEM, "part", "row_no", "text_hash"]
+    x = cut_lineage(profiles)  # ranges are found from a sample of it
+    x = cut_lineage(x.repartitionByRange(*order).dropDuplicates(order).withColumn("range", F.spark_partition_id()))
+    own = x.groupBy(*ITEM, "range").agg(F.sum("n_tokens").alias("n"))
+    over = Window.partitionBy(*ITEM)
+    before = F.coalesce(F.sum("n").over(over.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = own.select(*ITEM, "range", before.alias("base"), F.sum("n").over(over).alias("item_tokens"))  # a row an item and range
+    inside = F.sum("n_tokens").over(Window.partitionBy(*ITEM, "range").orderBy(*order[2:]).rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("inside", F.coalesce(inside, F.lit(0))).alias("x")
+    o = own.alias("o")
+    same = (F.col("x.item_kind") == F.col("o.item_kind")) & F.col("x.item_id").eqNullSafe(F.col("o.item_id")) & (F.col("x.range") == F.col("o.range"))
+    return x.join(o, same).select("x.*", (F.col("base") + F.col("inside")).alias("first_token"), "item_tokens").drop("range", "inside")
+
+
+def _middle(a: Column, b: Column) -> tuple[Column, Column]:
+    """First and last token of the middle half of a span."""
+    mid, quarter = (a + b) / 2, (b - a) / 4
+    return F.ceil(mid - quarter), F.floor(mid + quarter)
+
+
+def long_spans(placed: DataFrame, block_tokens: int) -> tuple[DataFrame, DataFrame] | None:
+    """(spans, marks) of the items above ``block_tokens``, if any: spans item_kind, item_id, a, b of at
+    most that size, cut level by level like ``bisect``; marks item_kind, item_id, at, strength.
+
+    Spans and marks meet on a grid of block_tokens, so the marks of one item spread over tasks."""
+    giant = placed.where((F.col("item_tokens") > block_tokens) & (F.col("n_tokens") > 0))
+    if giant.limit(1).count() == 0:
+        return None
+
+    @F.pandas_udf("array<struct<at:long,strength:int>>")
+    def unpacked(marks: pd.Series, first: pd.Series) -> pd.Series:
+        return pd.Series([[{"at": int(a + f), "strength": int(s)} for a, s in zip(*unpack(m))] for m, f in zip(marks, first)])
+
+    marks = cut_lineage(giant.select(*ITEM, F.explode(unpacked("marks", "first_token")).alias("m")).select(*ITEM, "m.at", "m.strength", F.floor(F.col("m.at") / block_tokens).alias("cell")))
+    spans = giant.select(*ITEM, F.lit(0).cast("long").alias("a"), F.col("item_tokens").alias("b")).distinct()
+    while True:
+        spans = cut_lineage(spans)
+        wide = spans.where(F.col("b") - F.col("a") > block_tokens)
+        if wide.limit(1).count() == 0:
+            return spans, marks
+        lo, hi = _middle(F.col("a"), F.col("b"))
+        grid = wide.withColumn("cell", F.explode(F.sequence(F.floor(lo / block_tokens), F.floor(hi / block_tokens)))).alias("s")
+        m = marks.alias("m")
+        meet = (F.col("s.cell") == F.col("m.cell")) & (F.col("s.item_kind") == F.col("m.item_kind")) & F.col("s.item_id").eqNullSafe(F.col("m.item_id"))
+        near = -F.abs(F.col("m.at") - (F.col("s.a") + F.col("s.b")) / 2)
+        best = grid.join(m, meet, "left").select(
+            "s.item_kind", "s.item_id", "s.a", "s.b",
+            F.when(F.col("m.at").between(*_middle(F.col("s.a"), F.col("s.b"))), F.struct("m.strength", near.alias("near"), (-F.col("m.at")).alias("at"))).alias("mark"),
+        )
+        cuts = best.groupBy(*ITEM, "a", "b").agg(F.max("mark").alias("mark"))
+        cut = F.coalesce(-F.col("mark.at"), F.floor((F.col("a") + F.col("b")) / 2))
+        cut = F.least(F.greatest(cut, F.col("a") + 1), F.col("b") - 1)
+        halves = F.array(F.struct(F.col("a").alias("a"), cut.alias("b")), F.struct(cut.alias("a"), F.col("b").alias("b")))
+        cut_up = cuts.select(*ITEM, F.explode(halves).alias("h")).select(*ITEM, "h.a", "h.b")
+        spans = spans.where(F.col("b") - F.col("a") <= block_tokens).unionByName(cut_up)
 
 
 def plan_pieces(placed: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The pieces of every item above ``limit``: item_kind, item_id, block, core start and end,
+    """The pieces of every item above ``limit``: item_kind, item_id, piece_no, core start and end,
     and the start with overlap, in tokens of the item. Items within the limit give no rows."""
     most = limit - overlap
+    core = "array<struct<core_start:long,core_end:long>>"
 
-    @F.pandas_udf("array<struct<core_start:long,core_end:long>>")
-    def cut(rows: pd.Series) -> pd.Series:
+    @F.pandas_udf(core)
+    def cut_rows(rows: pd.Series) -> pd.Series:
         out = []
         for group in rows:
             group = sorted(group, key=lambda r: r["first_token"])
@@ -178,24 +234,35 @@ def plan_pieces(placed: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, b
                 at, strength = unpack(r["marks"])
                 ats.append(at + r["first_token"])
                 strengths.append(strength)
-            lo, hi = group[0]["first_token"], group[-1]["first_token"] + group[-1]["n_tokens"]
-            cores = bisect(lo, hi, np.concatenate(ats), np.concatenate(strengths), most, limit)
+            cores = bisect(0, group[-1]["first_token"] + group[-1]["n_tokens"], np.concatenate(ats), np.concatenate(strengths), most, limit)
             out.append([{"core_start": a, "core_end": b} for a, b in cores])
         return pd.Series(out)
 
-    long = placed.where((F.col("item_tokens") > limit) & (F.col("n_tokens") > 0))
-    blocks = long.groupBy("item_kind", "item_id", (F.floor(F.col("first_token") / block_tokens)).alias("block")).agg(
-        F.collect_list(F.struct("first_token", "n_tokens", "marks")).alias("rows")
-    )
-    cores = blocks.select("item_kind", "item_id", "block", F.explode(cut("rows")).alias("c"))
-    return cores.select(
-        "item_kind",
-        "item_id",
-        "block",
-        "c.core_start",
-        "c.core_end",
-        F.greatest(F.col("c.core_start") - overlap, F.lit(0)).alias("start"),
-    )
+    @F.pandas_udf(core)
+    def cut_span(lo: pd.Series, hi: pd.Series, marks: pd.Series) -> pd.Series:
+        out = []
+        for a, b, m in zip(lo, hi, marks):
+            m = sorted((r["at"], r["strength"]) for r in m)
+            at, strength = (np.array(v, np.int64) for v in zip(*m)) if m else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            out.append([{"core_start": x, "core_end": y} for x, y in bisect(int(a), int(b), at, strength, most, limit)])
+        return pd.Series(out)
+
+    short = placed.where((F.col("item_tokens") > limit) & (F.col("item_tokens") <= block_tokens) & (F.col("n_tokens") > 0))
+    rows = short.groupBy(*ITEM).agg(F.collect_list(F.struct("first_token", "n_tokens", "marks")).alias("rows"))
+    cores = rows.select(*ITEM, F.posexplode(cut_rows("rows")).alias("piece_no", "c")).withColumn("piece_no", F.col("piece_no").cast("long"))
+    if (long := long_spans(placed, block_tokens)) is not None:
+        spans, marks = long
+        s = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("a") / block_tokens), F.floor((F.col("b") - 1) / block_tokens)))).alias("s")
+        m = marks.alias("m")
+        meet = (F.col("s.cell") == F.col("m.cell")) & (F.col("s.item_kind") == F.col("m.item_kind")) & F.col("s.item_id").eqNullSafe(F.col("m.item_id"))
+        inside = F.when((F.col("m.at") >= F.col("s.a")) & (F.col("m.at") < F.col("s.b")), F.struct("m.at", "m.strength"))
+        own = s.join(m, meet, "left").groupBy("s.item_kind", "s.item_id", "s.a", "s.b").agg(F.collect_list(inside).alias("marks"))
+        own = own.withColumn("cores", cut_span("a", "b", "marks"))
+        order = Window.partitionBy(*ITEM).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)  # a row a span
+        own = own.withColumn("base", F.coalesce(F.sum(F.size("cores")).over(order), F.lit(0)))
+        own = own.select(*ITEM, "base", F.posexplode("cores").alias("place", "c")).select(*ITEM, (F.col("base") + F.col("place")).alias("piece_no"), "c")
+        cores = cores.unionByName(own)
+    return cores.select(*ITEM, "piece_no", "c.core_start", "c.core_end", F.greatest(F.col("c.core_start") - overlap, F.lit(0)).alias("start"))
 
 
 def paper_rows(records: DataFrame) -> DataFrame:
@@ -210,7 +277,7 @@ def paper_rows(records: DataFrame) -> DataFrame:
 
 
 def chunk_rows(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Existing chunks above the limit as one-row items, by the text's own count."""
+    """Existing chunks of more than ``limit`` tokens, by the text's own count, as one-row items."""
     return chunks.where(n_tokens(F.col("text")) > limit).select(
         F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), F.lit("").alias("part"), F.lit(0).alias("row_no"), "text"
     )
@@ -242,10 +309,11 @@ def split_items(rows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, blo
     rows = rows.select("item_kind", "item_id", "part", "row_no", "text")
     placed = placed_rows(row_profiles(rows))
     long = plan_pieces(placed, limit, overlap, block_tokens)
+    nought = F.lit(0).cast("long")
     whole = placed.where(F.col("item_tokens").between(1, limit)).select(
-        "item_kind", "item_id", F.lit(0).cast("long").alias("core_start"), F.col("item_tokens").alias("core_end"), F.lit(0).cast("long").alias("start")
+        *ITEM, nought.alias("piece_no"), nought.alias("core_start"), F.col("item_tokens").alias("core_end"), nought.alias("start")
     )
-    pieces = long.select("item_kind", "item_id", "core_start", "core_end", "start").unionByName(whole.distinct())
+    pieces = long.unionByName(whole.distinct())
     cells = pieces.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / GRID), F.floor((F.col("core_end") - 1) / GRID))))
 
     key = ["item_kind", "item_id", "part", "row_no", "text_hash"]
@@ -277,28 +345,27 @@ def split_items(rows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, blo
     a = F.greatest(F.col("f.frag_start"), F.col("c.start"))
     b = F.least(F.col("f.frag_end"), F.col("c.core_end"))
     cut = hits.select(
-        "c.item_kind", "c.item_id", "c.core_start", "c.core_end", "c.start", a.alias("a"),
+        "c.item_kind", "c.item_id", "c.piece_no", "c.core_start", "c.core_end", "c.start", a.alias("a"),
         F.when(F.col("f.row_start") & (a == F.col("f.frag_start")) & (a > F.col("c.start")), F.lit("\n\n")).otherwise(F.lit("")).alias("glue"),
         cut_out("f.frag", a - F.col("f.frag_start"), b - F.col("f.frag_start")).alias("part_text"),
     )
-    built = cut.groupBy("item_kind", "item_id", "core_start", "core_end", "start").agg(
+    built = cut.groupBy("item_kind", "item_id", "piece_no", "core_start", "core_end", "start").agg(
         F.array_sort(F.collect_list(F.struct("a", "glue", "part_text"))).alias("parts")
     )
     text = F.regexp_replace(
         F.array_join(F.transform("parts", lambda p: F.concat(p["glue"], p["part_text"])), ""),
         f"[{WHITE_CLASS}]+$", "",
     )
-    number = F.row_number().over(Window.partitionBy("item_kind", "item_id").orderBy("core_start")) - 1
     return built.select(
         "item_kind",
         "item_id",
-        number.alias("piece_no"),
+        F.col("piece_no").cast("int").alias("piece_no"),
         text.alias("text"),
         (F.col("core_end") - F.col("start")).cast("int").alias("token_count"),
         (F.col("core_start") - F.col("start")).cast("int").alias("overlap_tokens"),
     )
 
 
-def corpus_rows(records: DataFrame, chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Assembled papers and oversized existing chunks together."""
+def corpus_rows(records: DataFrame, chunks: DataFrame, limit: int = 0) -> DataFrame:
+    """Assembled papers and existing chunks of more than ``limit`` tokens together."""
     return paper_rows(records).unionByName(chunk_rows(chunks, limit))

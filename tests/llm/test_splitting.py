@@ -45,6 +45,14 @@ def test_round_trip_over_rows_blocks_and_grid(spark, rng):
         assert back == tokens
 
 
+def test_cuts_do_not_depend_on_the_block_size(spark, rng):
+    rows = [("p", "i", "f", n, "".join(words(rng.randrange(5, 60)) + rng.choice([". ", "\n", "\n\n", " "]) for _ in range(30))) for n in range(12)]
+    rows.append(("p", "one", "f", 0, words(9000)))
+    whole, cut = pieces(spark, rows), pieces(spark, rows, block_tokens=600)
+    assert {k: [(r.piece_no, r.text, r.token_count) for r in v] for k, v in whole.items()} == {k: [(r.piece_no, r.text, r.token_count) for r in v] for k, v in cut.items()}
+    assert len(whole["i"]) > 10
+
+
 def test_prefers_headings_then_paragraphs_then_sentences(spark):
     text = words(250) + ". " + words(30, 300) + "\n\n" + words(20, 400) + "\n## Head\n" + words(300, 500)
     first = pieces(spark, [("p", "x", "a", 0, text)])["x"][1]
