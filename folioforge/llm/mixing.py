@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Mapping, Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +21,6 @@ from pyspark.sql import functions as F
 from folioforge.llm import tokens
 from folioforge.session import cut_lineage
 
-BUCKETS = 2048
-
 
 class Flow:
     """Maximum flow by shortest augmenting paths; sources of flow can be added in rounds."""
@@ -137,7 +136,9 @@ def mix(sizes: DataFrame, weights: DataFrame, total_tokens: int | None = None, s
     )  # at most one entry a source
     texts = texts.withColumn("pattern", F.transform("homes", lambda h: h["source"]))
     order = F.xxhash64(F.lit(seed), "text_key")
-    texts = cut_lineage(texts.withColumn("turn", order).withColumn("bucket", F.pmod(F.shiftright("turn", 20), F.lit(BUCKETS)).cast("int")))
+    texts = cut_lineage(texts.withColumn("turn", order))
+    buckets = isqrt(texts.count()) + 1  # so neither a bucket nor the list of a pattern's buckets grows like the texts
+    texts = texts.withColumn("bucket", F.pmod(F.shiftright("turn", 20), F.lit(buckets)))
 
     patterns = {tuple(r["pattern"]): int(r["n"]) for r in texts.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).collect()}
     caps = {s: r for s, (_, r) in wanted.items()}
@@ -158,7 +159,7 @@ def mix(sizes: DataFrame, weights: DataFrame, total_tokens: int | None = None, s
 
     heights = texts.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    heights = heights.select("pattern", "bucket", F.coalesce(before, F.lit(0)).alias("base"))  # patterns x BUCKETS rows
+    heights = heights.select("pattern", "bucket", F.coalesce(before, F.lit(0)).alias("base"))  # patterns x buckets rows
     inside = F.sum("n_tokens").over(Window.partitionBy("pattern", "bucket").orderBy("turn", "text_key").rowsBetween(Window.unboundedPreceding, -1))
     placed = texts.withColumn("inside", F.coalesce(inside, F.lit(0))).join(heights, ["pattern", "bucket"])
     # A text is used where its middle lies, so that stretches err by half a text at either end.

@@ -1,10 +1,11 @@
 """Filling fixed-capacity sequences with whole documents, by harmonic packing.
 
 A document of n tokens belongs to class k if capacity/(k+1) < n <= capacity/k, and a
-sequence of class k takes exactly k documents of the class, which always fit. Sequences of
-all classes are filled independently in shards of bounded size. What a sequence has left
-is then offered to the documents of later (smaller) classes, largest first, so that the
-guaranteed harmonic filling is only improved. Documents above the capacity, and only they,
+sequence of class k takes exactly k documents of the class, which always fit. Shards of
+bounded size fill the sequences of every class independently. With ``top_up``, the default,
+what a sequence of a class has left is offered to the documents of smaller classes, largest
+first, before those fill sequences of their own, so the harmonic filling is only improved.
+Documents above the capacity, and only they,
 are cut: full pieces take a sequence each, the remainder is packed as a document.
 """
 
@@ -24,8 +25,9 @@ CAPACITY = 2048
 SHARD_ROWS = 25_000
 
 
-def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Sequences as lists of positions in ``lengths``; each at most ``capacity`` in sum."""
+def pack(lengths: np.ndarray, capacity: int, top_up: bool = True) -> list[list[int]]:
+    """Sequences as lists of positions in ``lengths``; each at most ``capacity`` in sum. Without
+    ``top_up`` a sequence holds documents of one class only."""
     order = np.argsort(-lengths, kind="stable")
     by_length: list[list[int]] = [[] for _ in range(capacity + 1)]
     for i in order[::-1]:
@@ -54,18 +56,18 @@ def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
                 break
             chosen.append(by_length[n].pop())
             left -= n
-        while left > 0 and (n := largest(left)) > 0:  # what is left over, to smaller classes
+        while top_up and left > 0 and (n := largest(left)) > 0:  # what is left over, to smaller classes
             chosen.append(by_length[n].pop())
             left -= n
         out.append(chosen)
-    if by_length[0]:  # documents without a token stand at the end of the last sequence
+    for turn, i in enumerate(reversed(by_length[0])):  # documents without a token stand at the ends of the sequences, in turn
         if not out:
             out.append([])
-        out[-1].extend(reversed(by_length[0]))
+        out[turn % len(out)].append(i)
     return out
 
 
-def pack_documents(sizes: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack_documents(sizes: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, top_up: bool = True) -> DataFrame:
     """(doc_id, n_tokens) -> sequence_id, position, doc_id, piece_no, start_token, n_tokens, offset.
 
     ``offset`` is the piece's first place in its sequence, ``start_token`` its first token in
@@ -87,7 +89,7 @@ def pack_documents(sizes: DataFrame, capacity: int = CAPACITY, shard_rows: int =
         lengths = pdf["n_tokens"].to_numpy()
         rows, seq, pos, off = [], [], [], []
         base = int(pdf["shard"].iloc[0]) << 32
-        for s, members in enumerate(pack(lengths, capacity)):
+        for s, members in enumerate(pack(lengths, capacity, top_up)):
             at = 0
             for p, i in enumerate(members):
                 rows.append(i)

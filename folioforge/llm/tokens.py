@@ -15,9 +15,6 @@ from folioforge.functions.staging import spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: how byte-level BPE vocabularies of this family split text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: a run without white space longer than this is encoded in parts: byte-pair merging is quadratic
-#: in the length of a run, and merges over so long a run don't occur in the vocabulary
-LONG_RUN = 4096
 
 
 @lru_cache(maxsize=4)
@@ -32,29 +29,7 @@ def encoding(path: str):  # noqa: ANN201
 def count(text: str | None, path: str = VOCABULARY) -> int:
     if not text:
         return 0
-    enc = encoding(path)
-    text = text.encode("utf-8", "replace").decode("utf-8", "replace")
-    if len(text) <= LONG_RUN:
-        return len(enc.encode_ordinary(text))
-    total, start = 0, 0
-    for piece in _pieces(text):
-        total += len(enc.encode_ordinary(piece))
-    return total
-
-
-def _pieces(text: str) -> Iterator[str]:
-    """The text cut before white space that follows another character, so that no token spans a
-    cut; a run without such a place is cut hard at ``LONG_RUN``."""
-    start, n = 0, len(text)
-    while n - start > LONG_RUN:
-        cut = start + LONG_RUN
-        while cut > start + 1 and not (text[cut] == " " and not text[cut - 1].isspace()):
-            cut -= 1
-        if cut == start + 1:
-            cut = start + LONG_RUN
-        yield text[start:cut]
-        start = cut
-    yield text[start:]
+    return len(encoding(path).encode_ordinary(text.encode("utf-8", "replace").decode("utf-8", "replace")))
 
 
 def with_token_counts(df: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
