@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import consensus, matching, mixing, neighbors, packing, residue, residue_sql, splitting, survivor
+from folioforge.llm import consensus, invariants, matching, mixing, neighbors, packing, residue, residue_sql, splitting, survivor
 from folioforge.sources import table
 
 
@@ -17,12 +17,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_best_records(spark: SparkSession, d: str) -> DataFrame:
-    fields = ["review_status", "parse_status", "review_payload", "review_label", "review_reason", "candidate_title"]
-    return survivor.queue_survivors(table(spark, d, "candidate_queue"), fields)
+    return survivor.queue_survivors(table(spark, d, "candidate_queue"), invariants.BEST_FIELDS)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = splitting.corpus_rows(table(spark, d, "paper_records"), table(spark, d, "chunk_records"))
+    # chunks within the limit can't be found, so their texts stay where they are
+    rows = splitting.corpus_rows(table(spark, d, "paper_records"), table(spark, d, "chunk_records"), splitting.LIMIT)
     plan = splitting.plan_pieces(splitting.placed_rows(splitting.row_profiles(rows)))
     return plan.groupBy("item_kind", "item_id").count().select("item_kind", "item_id")
 
@@ -135,8 +135,9 @@ WITH words AS (
          CASE WHEN feedback_item_id = 'query_relevance' THEN 'query_relevance' WHEN feedback_item_id = 'human_like' THEN 'human_like'
               WHEN regexp_matches(feedback_item_id, '^cand_[0-9]+$') THEN 'candidate' END AS family,
          trim(regexp_replace(lower(judgement), '[^\p{L}\p{N}]+', ' ', 'g')) AS w
-  FROM human_feedback WHERE query_id IS NOT NULL),
-read AS (SELECT *, CASE {cases} END AS label FROM words WHERE rater IS NOT NULL),
+  FROM human_feedback),
+classed AS (SELECT *, CASE {cases} END AS label FROM words),
+read AS (SELECT * FROM classed WHERE rater IS NOT NULL AND query_id IS NOT NULL),
 votes AS (
   SELECT query_id, item, rater, family, label FROM read WHERE label IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY query_id, item, rater, family ORDER BY updated_at DESC NULLS LAST, id DESC) = 1),
@@ -172,6 +173,12 @@ def _agreement_sql() -> str:
     return P4_AGREEMENT_SQL.replace("{cases}", cases)
 
 
+def _votes_sql() -> str:
+    """The beginning of the agreement's SQL that reads the votes."""
+    sql = _agreement_sql()
+    return sql[: sql.index(",\nper AS")]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -191,8 +198,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_shares": p7_shares,
         "p8_found": p8_found,
         "p8_messages": p8_messages,
+        **invariants.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_agreement": _agreement_sql(), "p5_found": P5_SQL, "p8_found": residue_sql.found_sql(), "p8_messages": residue_sql.messages_sql()}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_agreement": _agreement_sql(), "p5_found": P5_SQL, "p8_found": residue_sql.found_sql(), "p8_messages": residue_sql.messages_sql(), **invariants.oracle_sql(_votes_sql())}
