@@ -47,23 +47,31 @@ def remaining(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFram
     return todo.join(done.select(*keys), list(keys), "left_anti")
 
 
-def near_duplicates_of_earlier(df: DataFrame, group: Sequence[str], order: str, tokens: str, threshold: float) -> DataFrame:
-    """Marks ``duplicate_of``: the earliest row of the group that was itself accepted and whose
-    token sets have at least the given Jaccard. Groups are lists of one document's bullets.
+def near_duplicates_of_earlier(df: DataFrame, group: Sequence[str], order: str, tokens: str, threshold: float, refs: str | None = None, sources: str | None = None) -> DataFrame:
+    """Marks ``duplicate_of``: the earliest row of the group that was itself accepted and that the row
+    repeats. A row with ``refs`` repeats one with the same set of them and a common source;
+    any other row one whose token set has at least the given Jaccard. Groups are lists of one
+    document's bullets; null arrays count as empty.
 
     An ordered fold over each group's rows; groups are arrays, so they must be small (bullets
     of one view); use a blocking join for larger ones.
     """
-    items = F.array_sort(F.collect_list(F.struct(order, tokens)))
-    kind = f"array<struct<o:{df.schema[order].dataType.simpleString()},t:array<string>,dup:{df.schema[order].dataType.simpleString()}>>"
+    def listed(name: str | None) -> Column:
+        empty = F.array().cast("array<string>")
+        return F.coalesce(F.array_sort(F.array_distinct(F.col(name))), empty) if name else empty
+
+    items = F.array_sort(F.collect_list(F.struct(order, F.coalesce(tokens, F.array().cast("array<string>")).alias(tokens), listed(refs).alias("_r"), listed(sources).alias("_s"))))
+    kind = f"array<struct<o:{df.schema[order].dataType.simpleString()},t:array<string>,r:array<string>,s:array<string>,dup:{df.schema[order].dataType.simpleString()}>>"
 
     def step(done: Column, x: Column) -> Column:
         def close(d: Column) -> Column:
             both, either = F.size(F.array_intersect(d["t"], x[tokens])), F.size(F.array_union(d["t"], x[tokens]))
-            return d["dup"].isNull() & (either > 0) & (both / either >= threshold)
+            alike = (both > 0) & (both / either >= threshold)
+            cited = (d["r"] == x["_r"]) & F.arrays_overlap(d["s"], x["_s"])
+            return d["dup"].isNull() & F.when(F.size(x["_r"]) > 0, cited).otherwise(alike)
 
         found = F.filter(done, close)
-        row = F.struct(x[order].alias("o"), x[tokens].alias("t"), F.when(F.size(found) > 0, F.get(found, F.lit(0))["o"]).alias("dup"))
+        row = F.struct(x[order].alias("o"), x[tokens].alias("t"), x["_r"].alias("r"), x["_s"].alias("s"), F.when(F.size(found) > 0, F.get(found, F.lit(0))["o"]).alias("dup"))
         return F.concat(done, F.array(row).cast(kind))
 
     folded = df.groupBy(*group).agg(F.aggregate(items, F.array().cast(kind), step).alias("rows"))

@@ -46,7 +46,7 @@ def aspect_metrics(rows: DataFrame, cuts: Sequence[int] = CUTS) -> DataFrame:
     names = {"any": "AnyAspect", "all": "AllAspect", "coverage": "AspectCoverage"}
     macro = papers.agg(*[F.coalesce(F.avg(f"{n}_{k}"), F.lit(0.0)).alias(f"{label}@{k}") for k in cuts for n, label in names.items()])
     recall = [
-        F.coalesce(F.avg(F.when(F.col("aspect_group") == v, hit(F.col("target_rank"), k))), F.lit(0.0)).alias(f"{v} R@{k}") for k in cuts for v in VIEWS
+        F.coalesce(F.avg(F.when(F.col("aspect_group") == v, hit(F.col("target_rank"), k))), F.lit(0.0)).alias(f"{v.title()} R@{k}") for k in cuts for v in VIEWS
     ]
     micro = rows.agg(*recall, F.count("*").cast("double").alias("query_count"), F.countDistinct("target_paper_id").cast("double").alias("paper_count"))
 

@@ -104,7 +104,12 @@ def banner_text(rows: DataFrame, group: str, section: str, text: str, order: str
 
 def compact_json(columns: Sequence[str]) -> Column:
     """The named columns as JSON without nulls, blank strings and empty arrays."""
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
+    def kept(name: str) -> Column:
+        x = F.col(name)
+        text = F.when(F.typeof(x) == "string", F.when(tx.stripped(x.cast("string")) != "", x))
+        return F.when(F.typeof(x) == "string", text).otherwise(F.when(~F.to_json(F.struct(x.alias("v")), {"ignoreNullFields": "true"}).isin("{}", '{"v":[]}'), x)).alias(name)
+
+    return F.to_json(F.struct(*[kept(c) for c in columns]), {"ignoreNullFields": "true"})
 
 
 def enqueued(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,11 +6,14 @@ review_payload, updated_at. Functions that depend on time take it as ``as_of``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.store import write_back
+from folioforge.session import cut_lineage
+
 CLAIM_ORDER = ("query_key", "retrieval_rank", "id")
 REVIEW_PRIORITY = ("completed", "processing", "pending", "failed")
 PARSE_PRIORITY = ("parsed", "metadata_only", "no_pdf", "pending")
@@ -62,6 +65,28 @@ def claim_with_minimum(queue: DataFrame, status: str, limit: int, least: int = 2
     return first_in_order(queue.where(F.col("parse_status") == status).join(enough, "query_key", "left_semi"), limit)
 
 
+def claim_where(queue: DataFrame, column: str, value: str, labels: Sequence[str], limit: int) -> DataFrame:
+    """Rows whose status ``column`` has the value and whose review_label is among the given ones."""
+    return first_in_order(queue.where((F.col(column) == value) & F.col("review_label").isin(*labels)), limit)
+
+
+def claim_query(queue: DataFrame) -> DataFrame:
+    """All pending rows of the first query key, blank ones aside, that has any."""
+    x = queue.where("review_status = 'pending'")
+    first = x.where(F.length(F.trim("query_key")) > 0).agg(F.min("query_key").alias("query_key"))
+    return x.join(first, "query_key", "left_semi")
+
+
+def run_passes(queue: DataFrame, passes: Sequence[tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame], Sequence[str]]]) -> DataFrame:
+    """A run as batch passes, as for download, parsing and review: each claims rows of the queue that the passes
+    before it left, works on them, and writes the named columns back by id. Results are
+    written to the shared folder between the passes, so no claim is made twice."""
+    for claim, work, columns in passes:
+        done = cut_lineage(work(claim(queue)).select("id", *columns))
+        queue = cut_lineage(write_back(queue, done, ["id"], list(columns)))
+    return queue
+
+
 def close_satisfied(queue: DataFrame, most_hard: int = 10, most_reviews: int = 30) -> DataFrame:
     """The queue with the pending rows of satisfied queries closed as ignored."""
     full = progress(queue).where((F.col("hard_negatives") >= most_hard) | (F.col("completed") >= most_reviews)).select("query_key", F.lit(True).alias("_full"))

@@ -5,12 +5,14 @@ Rankings stay in long form: query_id, item_id, score, rank. Ties: smaller id fir
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions import text
+from folioforge.functions import text, vectors
 
 QUERY_BLOCK, ITEM_BLOCK = 4_096, 20_000
 
@@ -223,8 +225,28 @@ def pooled_ranking(hits: DataFrame, strategy: str, k: int, overfetch: int | None
     return ranked(pooled, k, item="paper_id")
 
 
+def best_per_group(hits: DataFrame, group: Sequence[str], k: int, item: str = "item_id", score: str = "score") -> DataFrame:
+    """The ``k`` best rows of each group by score, ties to the smaller item."""
+    w = Window.partitionBy(*group).orderBy(F.col(score).desc(), item)
+    return hits.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= k).drop("_place")
+
+
+def filtered_neighbors(queries: DataFrame, items: DataFrame, keep: Column, k: int) -> DataFrame:
+    """query_id, item_id, distance, rank: the ``k`` items nearest by cosine distance among those that ``keep``
+    holds for; vectors of length 0 take no part."""
+    unit = vectors.unit(F.col("vector"))
+    x = items.where(keep & (vectors.norm(F.col("vector")) > 0)).select("item_id", unit.alias("vector"))
+    q = queries.where(vectors.norm(F.col("vector")) > 0).select("query_id", unit.alias("vector"))
+    return dense_topk(q, x, k).select("query_id", "item_id", (1 - F.col("score")).alias("distance"), "rank")
+
+
 def pool_mean_vectors(pages: DataFrame, key: str, vector: str) -> DataFrame:
-    """Mean vector of each key over its non-null page vectors; keys without one are left out."""
-    x = pages.where(F.col(vector).isNotNull()).select(key, F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "value"))
-    per = x.groupBy(key, "dim").agg(F.avg("value").alias("value"))
-    return per.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias(vector))
+    """Mean vector of each key over its non-null page vectors; keys without one are left out, and
+    numbers beyond the shortest vector of a key as well. Sums are arrays that are added up map-side."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    x = pages.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
+    short = x.groupBy(key).agg(F.min(F.size(vector)).alias("_n"))
+    x = x.join(short, key).select(key, array_to_vector(F.slice(F.col(vector).cast("array<double>"), F.lit(1), F.col("_n"))).alias(vector))
+    return x.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col(vector))).alias(vector))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as tx
-
 from folioforge.functions.text import word_count
+from folioforge.session import cut_lineage
 
 #: fixed values: ordered question templates, first match wins on lower-case text
 QUESTION_TEMPLATES = (
@@ -124,17 +124,23 @@ def histogram(df: DataFrame, group: str, value: Column) -> DataFrame:
 
 def wasserstein(df: DataFrame, side: str, a: str, b: str, value: str) -> DataFrame:
     """1-D Wasserstein distance between the values of sides ``a`` and ``b``: the area between
-    their distribution functions. Values are counted first, so only distinct values meet."""
+    their distribution functions. Values are counted first, and the distinct ones are laid out by
+    ranges: each task sums up its own range on top of the totals of the ranges before it."""
     n = df.where(F.col(value).isNotNull() & F.col(side).isin(a, b)).groupBy(F.col(value).alias("v")).agg(
         F.count(F.when(F.col(side) == a, 1)).alias("na"), F.count(F.when(F.col(side) == b, 1)).alias("nb")
     )
-    everything = Window.partitionBy()
-    run = everything.orderBy("v")  # distinct values only
-    x = n.select(
+    # written, as a range must be the same whenever it is read
+    x = cut_lineage(n.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    per = x.groupBy("part").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.min("v").alias("first"))
+    parts, all_parts = Window.orderBy("part"), Window.partitionBy()  # one row a range
+    before = [F.coalesce(F.sum(c).over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{c}_before") for c in ("na", "nb")]
+    per = per.select("part", *before, *[F.sum(c).over(all_parts).alias(f"{c}_all") for c in ("na", "nb")], F.lead("first").over(parts).alias("following"))
+    run = Window.partitionBy("part").orderBy("v")
+    x = x.join(F.broadcast(per), "part").select(  # one row a range
         "v",
-        (F.sum("na").over(run) / F.sum("na").over(everything)).alias("fa"),
-        (F.sum("nb").over(run) / F.sum("nb").over(everything)).alias("fb"),
-        F.lead("v").over(run).alias("next"),
+        ((F.col("na_before") + F.sum("na").over(run)) / F.col("na_all")).alias("fa"),
+        ((F.col("nb_before") + F.sum("nb").over(run)) / F.col("nb_all")).alias("fb"),
+        F.coalesce(F.lead("v").over(run), F.col("following")).alias("next"),
     )
     return x.agg(F.sum(F.abs(F.col("fa") - F.col("fb")) * (F.col("next") - F.col("v"))).alias("distance"))
 
@@ -179,6 +185,11 @@ def judged_score(x: Column) -> Column:
     return F.when(v.between(1, 5), v)
 
 
+def count_of(x: Column) -> Column:
+    """A whole number of at least 0 from text, else 0."""
+    return F.greatest(F.coalesce(x.try_cast("int"), F.lit(0)), F.lit(0))
+
+
 def human_closeness(distance: Column, spread: Column) -> Column:
     """exp(-distance / (spread + 1e-8))."""
     return F.exp(-distance / (spread + 1e-8))

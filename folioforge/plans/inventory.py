@@ -55,31 +55,15 @@ def cached_search(spark: SparkSession, d: str) -> DataFrame:
     return cache.select("query_id", F.lit(1).alias("from_cache")).unionByName(found.select("query_id", F.lit(0).alias("from_cache")))
 
 
-@query("sc19_json_document", "SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 20")
+@query("sc19_json_document", "SELECT c_custkey, c_name FROM customer")
 def json_document(spark: SparkSession, d: str) -> DataFrame:
+    """One document a nation, in a file each."""
     path = shared_folder(spark)
-    rows = table(spark, d, "customer").where("c_custkey <= 20").select("c_custkey", "c_name")
-    doc = rows.agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("customers"))
-    writers.write_jsonl(doc.coalesce(1), path)
+    doc = table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("customers"))
+    doc.repartition("c_nationkey").write.partitionBy("c_nationkey").json(path)
     return readers.json_document(spark, path, "customers array<struct<c_custkey:bigint,c_name:string>>").select(F.inline("customers"))
 
 
-@query("w6_nonempty_index", f"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, line, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS line_index FROM l WHERE len(trim(line)) > 0""")
-def nonempty_index(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").where("text IS NOT NULL")
-    lines = F.filter(F.split("text", "\n"), lambda s: F.length(F.trim(s)) > 0)
-    return x.select("doc_id", F.posexplode(lines).alias("line_index", "line"))
-
-
-@query("w7_distinct_keywords", Q + """, u AS (SELECT paper_id, unnest(keywords_extracted::JSON::VARCHAR[]) AS k FROM q)
-SELECT paper_id, list_sort(list_distinct(list(k))) AS keywords FROM u GROUP BY paper_id""")
-def distinct_keywords(spark: SparkSession, d: str) -> DataFrame:
-    x = _q(spark, d).select("paper_id", F.explode(F.from_json("keywords_extracted", "array<string>")).alias("k"))
-    return x.groupBy("paper_id").agg(F.array_sort(F.collect_set("k")).alias("keywords"))
-
-
 @query("s25_banner_texts", """
 WITH e AS (SELECT paper_id, doc_kind, min(doc_id) AS pos, '=== ' || doc_kind || ' ===' || chr(10) || string_agg(source, chr(10) ORDER BY doc_id) AS t
            FROM documents WHERE paper_id IS NOT NULL AND length(trim(source)) > 0 GROUP BY paper_id, doc_kind)
@@ -103,43 +87,6 @@ def before_references(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", exemplars.before_references(F.col("text")).alias("body"))
 
 
-@query("x8_compact_json")
-def compact_json(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", exemplars.compact_json(["lang", "source", "paper_id"]).alias("json"))
-
-
-@query("x5_aliased_fields", Q + """
-SELECT id, coalesce(CASE WHEN json_valid(review_payload) THEN json_extract_string(review_payload, '$.label') END, CASE WHEN json_valid(review_payload) THEN json_extract_string(review_payload, '$.confidence') END, review_label) AS value FROM q""")
-def aliased_fields(spark: SparkSession, d: str) -> DataFrame:
-    return _q(spark, d).select("id", F.coalesce(F.get_json_object("review_payload", "$.label"), F.get_json_object("review_payload", "$.confidence"), F.col("review_label")).alias("value"))
-
-
-@query("x11_selection_lists", "SELECT id, any_value(CASE WHEN len(selection_type) > 0 THEN selection_type END) AS selection FROM human_feedback GROUP BY id")
-def selection_lists(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "human_feedback").dropDuplicates(["id"])
-    return x.select("id", F.when(F.size("selection_type") > 0, F.col("selection_type")).alias("selection"))
-
-
-@query("x12_decoded_lists", "SELECT example_id, any_value(target_papers::JSON::VARCHAR[]) AS papers FROM golden_query_embeddings GROUP BY example_id")
-def decoded_lists(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "golden_query_embeddings").dropDuplicates(["example_id"])
-    return x.select("example_id", F.from_json("target_papers", "array<string>").alias("papers"))
-
-
-@query("x16_source_labels", "SELECT doc_id, CASE WHEN lower(source) LIKE '%arxiv%' THEN 'arxiv' WHEN lower(source) LIKE '%openreview%' THEN 'openreview' ELSE 'other' END AS label FROM documents")
-def source_labels(spark: SparkSession, d: str) -> DataFrame:
-    s = F.lower("source")
-    return table(spark, d, "documents").select("doc_id", F.when(s.contains("arxiv"), "arxiv").when(s.contains("openreview"), "openreview").otherwise("other").alias("label"))
-
-
-@query("g3_evidence_rows", """
-WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(fig(?:ure)?s?|tables?)\\.?\\s*([A-Za-z]?\\d+)', 2)) AS label FROM documents) SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id""")
-def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(r"(?i)\b(fig(?:ure)?s?|tables?)\.?\s*([A-Za-z]?\d+)"), 2)
-    x = table(spark, d, "documents").select("doc_id", F.explode(found).alias("label"))
-    return x.groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
 @query("g7_enqueued", """
 WITH h AS (SELECT sha1(concat(coalesce(source_query, ''), chr(10), coalesce(paper_title, ''), chr(10), coalesce(arxiv_id, ''), chr(10), coalesce(url, ''))) AS candidate_key, min(hn_id) AS hn_id FROM hard_negative_papers GROUP BY 1)
 SELECT candidate_key, hn_id, 'pending' AS review_status FROM h""")
@@ -160,39 +107,6 @@ def enqueue_upsert(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert(base, known.unionByName(fresh), ["candidate_key"], protected=["s"])
 
 
-@query("q3_claim_by_column", Q + " SELECT id FROM q WHERE parse_status = 'no_pdf' AND review_label = 'hard_negative' ORDER BY query_key NULLS FIRST, retrieval_rank NULLS FIRST, id LIMIT 50")
-def claim_by_column(spark: SparkSession, d: str) -> DataFrame:
-    return queue.first_in_order(_q(spark, d).where("parse_status = 'no_pdf' AND review_label = 'hard_negative'"), 50).select("id")
-
-
-@query("q5_claim_one_query", Q + " SELECT id FROM q WHERE review_status = 'pending' AND query_key = (SELECT min(query_key) FROM q WHERE review_status = 'pending' AND length(trim(query_key)) > 0)")
-def claim_one_query(spark: SparkSession, d: str) -> DataFrame:
-    x = _q(spark, d).where("review_status = 'pending'")
-    first = x.where("length(trim(query_key)) > 0").agg(F.min("query_key").alias("query_key"))
-    return x.join(first, "query_key", "left_semi").select("id")
-
-
-@query("tk6_best_chunks", """
-WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS s FROM embeddings)
-SELECT label, vec_id FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) <= 3""")
-def best_chunks(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("label").orderBy(F.col("s").desc(), "vec_id")
-    x = table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("s"))
-    return x.withColumn("place", F.row_number().over(w)).where("place <= 3").select("label", "vec_id")
-
-
-@query("j5_unknown_members", "SELECT count(*) AS unknown FROM (SELECT DISTINCT paper_id FROM chunk_records) WHERE paper_id NOT IN (SELECT id FROM openreview_papers)")
-def unknown_members(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunk_records").select("paper_id").distinct()
-    return c.join(table(spark, d, "openreview_papers").select(F.col("id").alias("paper_id")), "paper_id", "left_anti").agg(F.count("*").alias("unknown"))
-
-
-@query("j4_chunk_papers", "SELECT chunk_id, any_value(title) AS title FROM chunk_records JOIN (SELECT id, min(title) AS title FROM openreview_papers GROUP BY id) p ON p.id = paper_id GROUP BY chunk_id")
-def chunk_papers(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "openreview_papers").groupBy(F.col("id").alias("paper_id")).agg(F.min("title").alias("title"))
-    return table(spark, d, "chunk_records").dropDuplicates(["chunk_id"]).join(p, "paper_id").select("chunk_id", "title")
-
-
 @query("j13_canonical_update", Q + """, c AS (SELECT id FROM q QUALIFY row_number() OVER (PARTITION BY query_key, retrieval_rank ORDER BY
   CASE review_status WHEN 'completed' THEN 0 WHEN 'processing' THEN 1 WHEN 'pending' THEN 2 WHEN 'failed' THEN 3 ELSE 4 END,
   CASE parse_status WHEN 'parsed' THEN 0 WHEN 'metadata_only' THEN 1 WHEN 'no_pdf' THEN 2 WHEN 'pending' THEN 3 ELSE 4 END, review_payload IS NULL, updated_at DESC NULLS LAST, id DESC) = 1)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.functions.text import WHITE
 
-MODULES = ("retrieval", "textual", "tables", "shaping", "inventory")
+MODULES = ("retrieval", "textual", "tables", "shaping", "inventory", "reports")
 
 Plan = Callable[[SparkSession, str], DataFrame]
 

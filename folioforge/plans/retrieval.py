@@ -63,7 +63,7 @@ SELECT * FROM (
   SELECT 'AnyAspect@{k}' AS metric, round(avg(a), 9) AS value FROM (SELECT max(coalesce(target_rank <= {k}, false)::INT) AS a FROM ranks GROUP BY target)
   UNION ALL SELECT 'AllAspect@{k}', round(avg(a), 9) FROM (SELECT min(coalesce(target_rank <= {k}, false)::INT) AS a FROM ranks GROUP BY target)
   UNION ALL SELECT 'AspectCoverage@{k}', round(avg(a), 9) FROM (SELECT avg(coalesce(target_rank <= {k}, false)::INT) AS a FROM ranks GROUP BY target)
-  UNION ALL SELECT aspect || ' R@{k}', round(avg(coalesce(target_rank <= {k}, false)::INT), 9) FROM ranks GROUP BY aspect)
+  UNION ALL SELECT CASE aspect WHEN 'motivation' THEN 'Motivation' WHEN 'method' THEN 'Method' ELSE 'Experiment/Result' END || ' R@{k}', round(avg(coalesce(target_rank <= {k}, false)::INT), 9) FROM ranks GROUP BY aspect)
 """
 METRIC_SQL = (
     RANK_SQL + " UNION ALL ".join(_CUT_SQL.replace("{k}", str(k)) for k in (5, 20))
@@ -158,14 +158,14 @@ def mean_vectors(spark: SparkSession, d: str) -> DataFrame:
 @query("tk7_filtered_neighbors", """
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
 SELECT q.vec_id AS query_id, x.vec_id AS item_id, round(1 - list_cosine_similarity(q.e, x.e), 6) AS distance
-FROM v q, v x WHERE q.vec_id = 0 AND x.label = 1
-QUALIFY row_number() OVER (ORDER BY list_cosine_similarity(q.e, x.e) DESC, x.vec_id) <= 5""")
+FROM v q, v x WHERE q.vec_id % 20 = 0 AND x.label = 1
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, x.e), 9) DESC, x.vec_id) <= 5""")
 def filtered_neighbors(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    one = e.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    x = e.where("label = 1").select(F.col("vec_id").alias("item_id"), "embedding").crossJoin(F.broadcast(one))  # one query row
-    x = x.withColumn("_d", vectors.cosine_distance(F.col("q"), F.col("embedding")))
-    return x.orderBy("_d", "item_id").limit(5).select("query_id", "item_id", F.round("_d", 6).alias("distance"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = ranking.filtered_neighbors(q, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label"), F.col("label") == 1, 5)
+    return found.select("query_id", "item_id", F.round("distance", 6).alias("distance"))
+
 
 
 @query("m1_unit_vectors", """

@@ -120,11 +120,6 @@ def note_entries(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.inline(e))
 
 
-@query("ag12_frequent_views", Q + "SELECT query_text, count(*) AS n FROM q GROUP BY query_text HAVING count(*) >= 4")
-def frequent_views(spark: SparkSession, d: str) -> DataFrame:
-    return _q(spark, d).groupBy("query_text").agg(F.count("*").alias("n")).where("n >= 4")
-
-
 @query("ag25_reviewer_payloads", """
 WITH l AS (SELECT query_id, reviewer_username, feedback_item_id, judgement FROM human_feedback QUALIFY row_number() OVER (PARTITION BY query_id, reviewer_username, feedback_item_id ORDER BY updated_at DESC, id DESC) = 1)
 SELECT query_id, reviewer_username, count(*) AS items, string_agg(feedback_item_id, ',' ORDER BY feedback_item_id) AS names FROM l GROUP BY ALL""")
@@ -201,20 +196,6 @@ def queries_with_vectors(spark: SparkSession, d: str) -> DataFrame:
     return q.join(g, "query_id").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"))
 
 
-@query("j6_semi_join", Q + "SELECT id FROM q WHERE query_key IN (SELECT query_id FROM golden_query_embeddings)")
-def semi_join(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "golden_query_embeddings").select(F.col("query_id").alias("query_key"))
-    return _q(spark, d).join(g, "query_key", "left_semi").select("id")
-
-
-@query("j8_left_chain", Q + """SELECT q.id, p.title, c.n FROM q LEFT JOIN (SELECT id, max(title) AS title FROM openreview_papers GROUP BY id) p ON p.id = q.paper_id
-LEFT JOIN (SELECT paper_id, count(*) AS n FROM chunk_records GROUP BY paper_id) c ON c.paper_id = q.paper_id""")
-def left_chain(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "openreview_papers").groupBy(F.col("id").alias("paper_id")).agg(F.max("title").alias("title"))
-    c = table(spark, d, "chunk_records").groupBy("paper_id").agg(F.count("*").alias("n"))
-    return _q(spark, d).join(p, "paper_id", "left").join(c, "paper_id", "left").select("id", "title", "n")
-
-
 @query("tk14_paper_limit", "SELECT DISTINCT paper_id FROM paper_records ORDER BY paper_id LIMIT 50")
 def paper_limit(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "paper_records").select("paper_id").distinct()
@@ -257,6 +238,6 @@ def stream_interval_rates(spark: SparkSession, d: str) -> DataFrame:
     return out.where("event_type <> 'end'").select("event_type", F.col("start").cast("timestamp_ntz").alias("day"), "n", F.round("mean", 6).alias("mean"))
 
 
-@query("sc13_positions", "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_name)::INTEGER AS position FROM nation")
+@query("sc13_positions", "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_name)::BIGINT AS position FROM nation")
 def positions(spark: SparkSession, d: str) -> DataFrame:
     return readers.with_positions(table(spark, d, "nation").select("n_nationkey", "n_name"), ["n_name"])

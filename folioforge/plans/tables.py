@@ -25,10 +25,10 @@ def _q(spark: SparkSession, d: str) -> DataFrame:
 # --- sources -------------------------------------------------------------------------------
 
 
-@query("sc1_jsonl_round_trip", "SELECT doc_id, text, lang, source FROM documents WHERE doc_kind = 'queries'")
+@query("sc1_jsonl_round_trip", "SELECT doc_id, text, lang, source FROM documents")
 def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = shared_folder(spark) + "/docs.jsonl"
-    writers.write_jsonl(table(spark, d, "documents").where("doc_kind = 'queries'").select("doc_id", "text", "lang", "source"), path)
+    writers.write_jsonl(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), path)
     return readers.jsonl(spark, path, "doc_id long, text string, lang string, source string")
 
 
@@ -303,26 +303,6 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return queue.status_counts(_q(spark, d), "review_status", ("pending", "processing", "completed", "failed", "none"))
 
 
-@query("ag22_review_counts", "SELECT query_id, feedback_item_id, count(DISTINCT id) AS n, count(DISTINCT reviewer_username) AS reviewers FROM human_feedback GROUP BY ALL")
-def review_counts(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "human_feedback").dropDuplicates(["id"])
-    return x.groupBy("query_id", "feedback_item_id").agg(F.count("*").alias("n"), F.countDistinct("reviewer_username").alias("reviewers"))
-
-
-@query("ag23_mining_totals", Q + """, t AS (SELECT query_key, count(*) FILTER (WHERE review_label = 'hard_negative') AS h, count(*) FILTER (WHERE review_label = 'positive') AS p FROM q GROUP BY query_key)
-SELECT count(*) AS queries, count(*) FILTER (WHERE h > 0) AS with_hard, sum(h)::BIGINT AS hard_negatives, sum(p)::BIGINT AS positives FROM t""")
-def mining_totals(spark: SparkSession, d: str) -> DataFrame:
-    t = _q(spark, d).groupBy("query_key").agg(*[F.count(F.when(F.col("review_label") == v, 1)).alias(n) for n, v in (("h", "hard_negative"), ("p", "positive"))])
-    return t.agg(F.count("*").alias("queries"), F.count(F.when(F.col("h") > 0, 1)).alias("with_hard"), F.sum("h").alias("hard_negatives"), F.sum("p").alias("positives"))
-
-
-@query("ag28_failed_searches", Q + """
-SELECT search_query, count(*) AS n FROM q WHERE error_message IS NOT NULL GROUP BY search_query ORDER BY n DESC, search_query LIMIT 10""")
-def failed_searches(spark: SparkSession, d: str) -> DataFrame:
-    x = _q(spark, d).where("error_message IS NOT NULL").groupBy("search_query").agg(F.count("*").alias("n"))
-    return x.orderBy(F.desc("n"), "search_query").limit(10)
-
-
 @query("tk9_early_stop", Q + """, r AS (SELECT *, coalesce(sum((review_label = 'hard_negative')::INT) OVER (PARTITION BY query_key ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen
   FROM q WHERE query_key IS NOT NULL)
 SELECT id, query_key FROM r WHERE seen < 3""")
@@ -362,15 +342,6 @@ def interval_rates(spark: SparkSession, d: str) -> DataFrame:
     return x.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("day"), "n", "mean")
 
 
-@query("ag27_rates_between", """
-WITH n AS (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1)
-SELECT day, n, n - lag(n) OVER (ORDER BY day) AS change, n - min(n) OVER (ORDER BY day ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS growth FROM n""")
-def rates_between(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("day")  # one row a day
-    return n.select("day", "n", (F.col("n") - F.lag("n").over(w)).alias("change"), (F.col("n") - F.min("n").over(w.rowsBetween(-11, 0))).alias("growth"))
-
-
 # --- joins and nested records -----------------------------------------------------------------
 
 
@@ -449,30 +420,6 @@ def centred_fit(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("fit", style.centred_fit(style.judged_score(F.col("score").cast("string"))))
 
 
-@query("ag13_judge_summary", """
-SELECT query_type, count(*) AS n, round(avg(CASE WHEN related_bullet_indice BETWEEN 1 AND 5 THEN greatest(0.0, 1 - abs(related_bullet_indice - 3) / 2) END), 9) AS fit,
-  round(avg((related_bullet_indice IS NOT NULL)::INT), 9) AS answered FROM (SELECT DISTINCT ON (id) * FROM candidate_queue) GROUP BY query_type""")
-def judge_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("related_bullet_indice")
-    return _q(spark, d).groupBy("query_type").agg(
-        F.count("*").alias("n"), F.round(F.avg(style.centred_fit(F.when(s.between(1, 5), s))), 9).alias("fit"), F.round(F.avg(s.isNotNull().cast("int")), 9).alias("answered")
-    )
-
-
-@query("ag14_dataset_summary", Q + """
-SELECT 'decision' AS measure, coalesce(review_label, 'none') AS value, count(*) AS n FROM q GROUP BY 2 UNION ALL SELECT 'view', source_view, count(*) FROM q GROUP BY 2 UNION ALL SELECT 'type', query_type, count(*) FROM q GROUP BY 2""")
-def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
-    pairs = [("decision", F.coalesce("review_label", F.lit("none"))), ("view", F.col("source_view")), ("type", F.col("query_type"))]
-    x = _q(spark, d).select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), c.alias("value")) for m, c in pairs])))
-    return x.groupBy("measure", "value").agg(F.count("*").alias("n"))
-
-
-@query("ag24_exemplar_report", "SELECT query_type || ':' || view_label AS kind, count(DISTINCT example_id) AS n FROM golden_query_embeddings GROUP BY 1")
-def exemplar_report(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "golden_query_embeddings")
-    return x.groupBy(F.concat_ws(":", "query_type", "view_label").alias("kind")).agg(F.countDistinct("example_id").alias("n"))
-
-
 @query("pf20_refresh", """
 WITH n AS (SELECT id, arg_max(title, (downloaded_at, title)) AS title FROM openreview_papers GROUP BY id)
 SELECT DISTINCT q.paper_id, q.paper_title, coalesce(nullif(trim(n.title), ''), q.paper_title) AS title FROM candidate_queue q LEFT JOIN n ON n.id = q.paper_id""")
@@ -489,19 +436,3 @@ def venue_year(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "openreview_papers")
     venue = F.coalesce(F.nullif(F.trim("venue"), F.lit("")), F.get(F.split("venueid", "/"), F.lit(0)))
     return p.select("id", venue.alias("venue"), F.coalesce(F.when(F.col("year").between(1900, 2099), F.col("year")), tx.year_in(F.col("venue"))).alias("year")).distinct()
-
-
-@query("x9_json_merged", "SELECT DISTINCT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority FROM orders")
-def json_merged(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    old = F.create_map(F.lit("status"), F.lit("?"), F.lit("priority"), F.col("o_orderpriority"))
-    new = F.create_map(F.lit("status"), F.col("o_orderstatus"))
-    kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k))
-    merged = F.map_filter(F.map_concat(kept, new), lambda k, v: v.isNotNull())
-    return o.select("o_orderkey", merged["status"].alias("status"), merged["priority"].alias("priority"))
-
-
-@query("x15_keyword_lists", "SELECT id, list_filter(list_transform(any_value(keywords), lambda k: trim(k)), lambda k: k <> '') AS keywords FROM openreview_papers GROUP BY id")
-def keyword_lists(spark: SparkSession, d: str) -> DataFrame:
-    p = dedupe.keep_first(table(spark, d, "openreview_papers"), ["id"], ["downloaded_at"])
-    return p.select("id", F.filter(F.transform("keywords", lambda k: F.trim(k)), lambda k: k != "").alias("keywords"))

@@ -12,6 +12,7 @@ from folioforge.plans.registry import query
 from folioforge.sources import table
 
 WS = f"[{tx.WHITE}]+"
+_TOK = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda t: len(t) > 2))"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +160,6 @@ def lengths(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", tx.word_count(F.col("text")).alias("words"), F.length("text").alias("chars"))
 
 
-_TOK = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda t: len(t) > 2))"
 
 
 @query("s13_token_jaccard", f"""
@@ -170,12 +170,30 @@ def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", F.round(tx.token_jaccard(F.col("paper_title"), F.col("candidate_title")), 9).alias("jaccard"))
 
 
-@query("s14_near_duplicate_bullets")
+_BULLET_REF = "regexp_extract_all(b, '(?i)\\b(?:figure|table) \\d+')"
+
+
+@query("s14_near_duplicate_bullets", f"""
+WITH RECURSIVE l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS b, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents WHERE doc_kind = 'bullets'),
+t AS (SELECT doc_id, source, b, place, {_TOK.format(c='b')} AS t, list_sort(list_distinct(list_transform({_BULLET_REF}, lambda r: lower(r)))) AS r FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i FROM t WHERE len(t) > 0),
+near AS (SELECT y.doc_id, y.i, list(x.i) FILTER (WHERE CASE WHEN len(y.r) > 0 THEN x.r = y.r AND x.source IS NOT NULL
+    ELSE len(list_intersect(x.t, y.t)) > 0 AND len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) >= 0.82 END) AS like_me
+  FROM n y JOIN n x ON x.doc_id = y.doc_id AND x.i < y.i GROUP BY ALL),
+fold AS (
+  SELECT doc_id, 0::BIGINT AS i, []::BIGINT[] AS kept, NULL::BIGINT AS dup FROM (SELECT DISTINCT doc_id FROM n)
+  UNION ALL
+  SELECT f.doc_id, f.i + 1, CASE WHEN len(list_intersect(coalesce(p.like_me, []), f.kept)) > 0 THEN f.kept ELSE list_append(f.kept, f.i + 1) END,
+    list_min(list_intersect(coalesce(p.like_me, []), f.kept))
+  FROM fold f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1 LEFT JOIN near p ON p.doc_id = n.doc_id AND p.i = n.i)
+SELECT a.doc_id, a.place::INTEGER AS place, o.place::INTEGER AS duplicate_of FROM fold f JOIN n a ON a.doc_id = f.doc_id AND a.i = f.i LEFT JOIN n o ON o.doc_id = f.doc_id AND o.i = f.dup""")
 def near_duplicate_bullets(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d).where("doc_kind = 'bullets'")
-    bullets = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "bullet"))
-    x = bullets.withColumn("tokens", F.array_distinct(tx.alnum_tokens(F.col("bullet")))).where("size(tokens) > 0")
-    return dedupe.near_duplicates_of_earlier(x, ["doc_id"], "place", "tokens", 0.82)
+    bullets = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("place", "bullet"))
+    tokens = F.array_distinct(F.filter(tx.alnum_tokens(F.col("bullet")), lambda t: F.length(t) > 2))
+    refs = F.transform(F.regexp_extract_all("bullet", F.lit(r"(?i)\b(?:figure|table) \d+"), 0), lambda r: F.lower(r))
+    x = bullets.select("doc_id", "place", tokens.alias("tokens"), refs.alias("refs"), F.array_compact(F.array("source")).alias("sources")).where("size(tokens) > 0")
+    return dedupe.near_duplicates_of_earlier(x, ["doc_id"], "place", "tokens", 0.82, "refs", "sources")
 
 
 @query("s15_extracted_ids", r"""
@@ -209,7 +227,14 @@ def label_lists(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", tx.delimited_list(F.col("keywords_extracted")).alias("labels"))
 
 
-@query("s23_search_plan")
+_PLAN_SQL = """
+WITH q AS (SELECT id, list_transform(any_value(keywords_extracted)::JSON::VARCHAR[], lambda k: strip(k)) AS k FROM candidate_queue GROUP BY id),
+s AS (SELECT id, k, list_filter(list_transform(k, lambda x: array_to_string(list_filter(string_split_regex(x, '{ws}'), lambda w: w <> '')[1:4], ' ')), lambda x: x <> '') AS short FROM q),
+p AS (SELECT id, list_concat(CASE WHEN len(short) > 1 THEN [array_to_string(short[1:2], ' ')] ELSE [] END, short){more} AS p FROM s)
+SELECT id, list_filter(p, lambda x, i: list_position(p, x) = i) AS plan FROM p"""
+
+
+@query("s23_search_plan", _PLAN_SQL.replace("{ws}", WS).replace("{more}", ""))
 def search_plan(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "candidate_queue").dropDuplicates(["id"])
     return x.select("id", tx.search_plan(tx.delimited_list(F.col("keywords_extracted"))).alias("plan"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from folioforge.functions import text as tx
 from folioforge.functions.keys import line_id
 from folioforge.functions.vectors import decoded
 from folioforge.operators.dedupe import first_place_last_value, keep_first
+from folioforge.session import cut_lineage
 
 QUERY_FIELDS = "query_id string, query_key string, id string, query_text string, query string, text string, target_paper_id string, paper_id string, aspect_group string, source_view string, view string"
 
@@ -39,14 +39,23 @@ def csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def shards(root: str, representation: str) -> list[str]:
-    """Sorted shard files of a representation folder."""
-    return sorted(str(p) for p in (Path(root) / representation).glob("*.jsonl"))
+def _listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, on whatever store it names."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    plain = "://" not in pattern and not pattern.startswith("file:")
+    return sorted(f.getPath().toUri().getPath() if plain else f.getPath().toString() for f in found or [])
 
 
-def existing_query_paths(combined: str, parts: Sequence[str]) -> list[str]:
-    """The combined query file if it exists, else those of its parts that exist."""
-    return [combined] if Path(combined).exists() else [p for p in parts if Path(p).exists()]
+def shards(spark: SparkSession, root: str, representation: str) -> list[str]:
+    """Sorted shard files of a representation folder; none if it isn't there."""
+    return _listed(spark, f"{root}/{representation}/*.jsonl")
+
+
+def existing_query_paths(spark: SparkSession, combined: str, parts: Sequence[str]) -> list[str]:
+    """The combined query file if it exists, else those of its parts that exist, in their order."""
+    return [combined] if _listed(spark, combined) else [p for p in parts if _listed(spark, p)]
 
 
 def corpus_papers(rows: DataFrame, order: Sequence[str], max_papers: int | None = None) -> DataFrame:
@@ -61,7 +70,8 @@ def corpus_papers(rows: DataFrame, order: Sequence[str], max_papers: int | None
     out = x.groupBy("representation_type", "paper_id").agg(
         tx.stripped(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n")).alias("text"),
         F.array_sort(F.collect_set("source_path")).alias("source_paths"),
-    )
+        F.max(F.length("text")).alias("_longest"),
+    ).where("_longest > 0").drop("_longest")
     return out.orderBy("paper_id").limit(max_papers) if max_papers is not None else out
 
 
@@ -123,5 +133,19 @@ def extraction_jobs(corpus: DataFrame, existing: DataFrame, finished: DataFrame)
 
 
 def with_positions(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
-    """1-based positions in the given order, for small tables: one task numbers all rows."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """1-based positions in the given order. Rows are laid out by ranges, written once, and numbered
+    within each range on top of the counts of the ranges before it."""
+    x = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    base = x.groupBy("_range").count().select("_range", F.coalesce(before, F.lit(0)).alias("_base"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return x.withColumn("_n", number).join(F.broadcast(base), "_range").withColumn(name, F.col("_base") + F.col("_n")).drop("_range", "_n", "_base")
+
+
+def keyed_table(spark: SparkSession, source: str, keys: DataFrame | None = None, on: Sequence[str] = (), missing: bool = False, **options: str) -> DataFrame:
+    """A table read by key: a JDBC table ("jdbc:..." with ``dbtable`` among the options) or Parquet files. With ``keys``
+    only rows that have one of them, or with ``missing`` the keys that no row has."""
+    table = spark.read.format("jdbc").options(url=source, **options).load() if source.startswith("jdbc:") else spark.read.parquet(source)
+    if keys is None:
+        return table
+    return keys.select(*on).distinct().join(table.select(*on), list(on), "left_anti") if missing else table.join(keys.select(*on), list(on), "left_semi")

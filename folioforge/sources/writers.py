@@ -51,8 +51,14 @@ def ranking_documents(ranking: DataFrame) -> DataFrame:
     return x.select("query_id", F.transform("top", lambda t: t["paper_id"]).alias("ranked_ids"), F.transform("top", lambda t: t["score"]).alias("scores"))
 
 
+MOST_LINES = 10_000
+
+
 def markdown_table(df: DataFrame, columns: Sequence[str]) -> str:
-    """A small result as a Markdown table."""
+    """A small result as a Markdown table; more than ``MOST_LINES`` rows are an error."""
+    rows = df.select(*columns).limit(MOST_LINES + 1).collect()
+    if len(rows) > MOST_LINES:
+        raise ValueError(f"more than {MOST_LINES} rows for a Markdown table")
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in columns) + " |" for r in df.select(*columns).collect()]
+    lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in columns) + " |" for r in rows]
     return "\n".join(lines) + "\n"

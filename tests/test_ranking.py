@@ -75,7 +75,7 @@ def test_metrics_fixture(spark):
     df = spark.createDataFrame(rows_, "query_id string, target_paper_id string, aspect_group string, target_rank int")
     m = {r.metric: round(r.value, 4) for r in evaluation.aspect_metrics(df).collect()}
     assert (m["AnyAspect@5"], m["AllAspect@5"], m["AspectCoverage@5"]) == (1.0, 0.3333, 0.6667)
-    assert (m["motivation R@5"], m["method R@5"], m["experiment/result R@5"], m["query_count"], m["paper_count"]) == (1.0, 0.5, 0.0, 5, 3)
+    assert (m["Motivation R@5"], m["Method R@5"], m["Experiment/Result R@5"], m["query_count"], m["paper_count"]) == (1.0, 0.5, 0.0, 5, 3)
     assert all(m[f"AnyAspect@{k}"] >= m[f"AspectCoverage@{k}"] >= m[f"AllAspect@{k}"] for k in (5, 20))
     assert {r.value for r in evaluation.aspect_metrics(df.where("false")).collect()} == {0.0}
 

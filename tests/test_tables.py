@@ -92,8 +92,8 @@ def test_files_round_trip(spark, tmp_path):
     assert "é" in (tmp_path / "m.json").read_text(encoding="utf-8")
     (tmp_path / "full_text").mkdir()
     (tmp_path / "full_text" / "b.jsonl").write_text("")
-    assert readers.shards(str(tmp_path), "full_text") == [str(tmp_path / "full_text" / "b.jsonl")]
-    assert readers.existing_query_paths(str(tmp_path / "none"), [str(tmp_path / "m.json"), "/nowhere"]) == [str(tmp_path / "m.json")]
+    assert readers.shards(spark, str(tmp_path), "full_text") == [str(tmp_path / "full_text" / "b.jsonl")]
+    assert readers.existing_query_paths(spark, str(tmp_path / "none"), [str(tmp_path / "m.json"), "/nowhere"]) == [str(tmp_path / "m.json")]
 
 
 def test_corpus_and_sets(spark):
