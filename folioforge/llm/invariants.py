@@ -106,15 +106,16 @@ def p6_checks(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_checks(spark: SparkSession, d: str) -> DataFrame:
     """Sources with a weight; documents over their cap or of another source, and sources off their
-    share by more than two hundredths: none."""
+    share by more than two hundredths and two of the longest texts: none."""
     documents, weights = table(spark, d, "documents"), table(spark, d, "source_weights")
     selection, report = mixing.document_mix(documents, weights)
     caps = weights.groupBy(mixing.source_key(F.col("source")).alias("source")).agg(F.max("max_repeats").alias("cap"))
     x = selection.join(caps, "source", "left").join(documents.select("doc_id", mixing.source_key(F.col("source")).alias("home")), "doc_id", "left")
     wrong = x.agg(F.count_if(F.coalesce(F.col("repeats") > F.col("cap"), F.lit(True))).alias("over_cap"), F.count_if(~F.col("home").eqNullSafe(F.col("source"))).alias("foreign"))
     able = F.when(F.col("available_tokens") * F.col("max_repeats") > 0, F.col("target_share")).otherwise(0.0)
-    whole = report.agg(F.sum(able).alias("whole"))  # one row
-    off = report.crossJoin(whole).where(F.abs(F.col("share") - able / F.col("whole")) > 0.02)
+    whole = report.agg(F.sum(able).alias("whole"), F.sum("tokens").alias("all")).crossJoin(selection.agg(F.max("n_tokens").alias("longest")))  # one row each
+    slack = 0.02 + F.coalesce(2 * F.try_divide(F.col("longest"), F.col("all")), F.lit(0.0))
+    off = report.crossJoin(whole).where(F.abs(F.col("share") - able / F.col("whole")) > slack)
     return wrong.crossJoin(off.agg(F.count("*").alias("off_share"))).crossJoin(report.agg(F.count("*").alias("sources")))
 
 
