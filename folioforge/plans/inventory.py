@@ -82,7 +82,10 @@ def line_classes(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count(F.when(exemplars.is_noise(F.col("line")), 1)).alias("noise"), F.count(F.when(exemplars.is_appendix_heading(F.col("line")), 1)).alias("appendix"))
 
 
-@query("s28_before_references")
+@query("s28_before_references", r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, l, coalesce(list_position(list_transform(l, lambda x: regexp_replace(lower(strip(x)), '^[#\d. ]+', '') IN ({headings})), true), 0) AS p FROM l)
+SELECT doc_id, array_to_string(CASE WHEN p > 0 THEN l[1:p - 1] ELSE l END, chr(10)) AS body FROM p""".replace("{headings}", ", ".join(f"'{h}'" for h in exemplars.REFERENCE_HEADINGS)))
 def before_references(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", exemplars.before_references(F.col("text")).alias("body"))
 

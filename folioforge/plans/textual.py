@@ -256,7 +256,10 @@ def labeled_content(spark: SparkSession, d: str) -> DataFrame:
     return x.select("example_id", F.concat_ws("\n", *parts).alias("content")).distinct()
 
 
-@query("x3_json_payloads")
+@query("x3_json_payloads", r"""
+WITH p AS (SELECT id, strip(regexp_replace(any_value(review_payload), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS t FROM candidate_queue GROUP BY id),
+c AS (SELECT id, [t, regexp_extract(t, '(?s)(\{.*\})', 1), regexp_extract(t, '(?s)(\[.*\])', 1)] AS tries FROM p)
+SELECT id, list_filter(tries, lambda x: json_valid(x) AND x <> '')[1] AS json FROM c""")
 def json_payloads(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "candidate_queue").dropDuplicates(["id"])
     return x.select("id", tx.json_in(F.concat(F.lit("```json\n"), "review_payload", F.lit("\n```"))).alias("json"))
@@ -310,13 +313,19 @@ def length_stats(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p25", "median", "p75")})
 
 
-@query("ag11_template_distribution")
+_TEMPLATES = "WITH q AS (SELECT query_text, min(id) AS pos FROM candidate_queue GROUP BY query_text), t AS (SELECT *, CASE " + " ".join(
+    f"WHEN regexp_matches(lower(strip(query_text)), '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for p, n in style.QUESTION_TEMPLATES) + " END AS template FROM q)"
+
+
+@query("ag11_template_distribution", _TEMPLATES + " SELECT template, count(*) AS n, round(count(*) / (SELECT count(*) FROM q), 9) AS ratio, list(query_text ORDER BY pos)[1:3] AS examples FROM t GROUP BY template")
 def template_distribution(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "candidate_queue").groupBy("query_text").agg(F.min("id").alias("pos"))
-    return style.template_distribution(x, "query_text", "pos")
+    return style.template_distribution(x, "query_text", "pos").withColumn("ratio", F.round("ratio", 9))
 
 
-@query("tk10_examples")
+@query("tk10_examples", _TEMPLATES + """
+, p AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY pos) AS place, min(pos) OVER (PARTITION BY template) AS first_seen FROM t WHERE template IS NOT NULL)
+SELECT template, pos, query_text FROM p WHERE place <= greatest(1, 12 // (SELECT count(DISTINCT template) FROM p)) ORDER BY first_seen, pos LIMIT 12""")
 def examples(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "candidate_queue").groupBy("query_text").agg(F.min("id").alias("pos"))
     return style.representative_examples(x, "query_text", "pos", 12)

@@ -10,8 +10,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="no test
 
 #: columns without nulls, of queries that SQL can't compute; what they hold is tested by unit tests
 FILLED = {
-    "ag11_template_distribution": ["n", "ratio"], "m10_planar_points": ["x", "y"], "m11_vector_text": [], "s18_sentence_summaries": [], "s28_before_references": ["doc_id", "body"],
-    "sc16_searched_candidates": [], "tk10_examples": ["template"], "u1_hash_embeddings": [], "x3_json_payloads": ["id"],
+    "m10_planar_points": ["x", "y"], "m11_vector_text": ["encoded", "numbers"], "s18_sentence_summaries": ["doc_id"], "sc16_searched_candidates": ["query_id", "title"], "u1_hash_embeddings": ["query_id"],
 }
 
 
