@@ -87,3 +87,22 @@ def assembled(stages: Sequence[DataFrame], key: str) -> DataFrame:
     for s in stages:
         out = out.join(s.drop("position"), key, "left")
     return out.withColumn("first_stage", F.col("first.stage")).withColumn("first_position", F.col("first.position")).drop("first")
+
+
+def with_results(rows: DataFrame, results: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Secondary join of the final document: the columns of ``results`` beside the rows with the same keys,
+    such as paper, text, view and type; nulls are alike. Of several results the greatest counts."""
+    rest = [c for c in results.columns if c not in keys]
+    one = results.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(F.struct(*rest)).alias("_r"))
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(one, cond, "left").select(*[F.col(c) for c in rows.columns], *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def final_document(stages: Sequence[DataFrame], key: str, titles: Sequence[str], rows: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``assembled`` stages with the first non-blank of ``titles`` as title, and ``queries``: the named columns of
+    the key's rows, in order; empty for keys without any."""
+    nested = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias("queries"))
+    out = assembled(stages, key).join(nested, key, "left")
+    return out.withColumn("title", tx.first_nonblank([F.col(t) for t in titles])).withColumn("queries", F.coalesce("queries", F.array().cast(nested.schema["queries"].dataType)))

@@ -377,6 +377,36 @@ def assembled(spark: SparkSession, d: str) -> DataFrame:
     return notes.assembled([a, b, c], "paper_id")
 
 
+@query("j7_final_document", """
+WITH q AS (SELECT DISTINCT ON (id) * FROM candidate_queue),
+a AS (SELECT paper_id, min(id) AS position, max(paper_title) AS queue_title, count(*) AS n_candidates FROM q GROUP BY paper_id),
+b AS (SELECT paper_forum_id AS paper_id, min(id) AS position, count(DISTINCT id) AS n_feedback FROM human_feedback GROUP BY 1),
+c AS (SELECT paper_id, min(doc_id) AS position, count(*) AS n_documents FROM documents WHERE paper_id IS NOT NULL GROUP BY 1),
+e AS (SELECT id AS paper_id, min(submission_number)::BIGINT AS position, max(title) AS own_title FROM openreview_papers GROUP BY 1),
+g AS (SELECT paper_id, min(chunk_index)::BIGINT AS position, count(DISTINCT chunk_id) AS n_chunks FROM chunk_records GROUP BY 1),
+s AS (SELECT paper_id, 0 AS stage, position FROM a UNION ALL SELECT paper_id, 1, position FROM b UNION ALL SELECT paper_id, 2, position FROM c UNION ALL SELECT paper_id, 3, position FROM e UNION ALL SELECT paper_id, 4, position FROM g),
+f AS (SELECT paper_id, min(stage) AS first_stage FROM s GROUP BY paper_id),
+k AS (SELECT DISTINCT paper_id, query_text, source_view, query_type FROM q),
+r AS (SELECT paper_id, query_text, source_view, query_type, count(*) FILTER (WHERE review_label = 'hard_negative') AS hard FROM q GROUP BY ALL),
+n AS (SELECT k.paper_id, count(*) AS n_queries, sum(hard)::BIGINT AS hard FROM k LEFT JOIN r ON k.paper_id = r.paper_id AND k.query_text IS NOT DISTINCT FROM r.query_text AND k.source_view IS NOT DISTINCT FROM r.source_view
+  AND k.query_type IS NOT DISTINCT FROM r.query_type GROUP BY k.paper_id)
+SELECT f.paper_id, first_stage, coalesce(nullif(strip(own_title), ''), nullif(strip(queue_title), '')) AS title, n_candidates, n_feedback, n_documents, n_chunks, coalesce(n_queries, 0)::INTEGER AS n_queries, coalesce(hard, 0) AS hard
+FROM f LEFT JOIN a USING (paper_id) LEFT JOIN b USING (paper_id) LEFT JOIN c USING (paper_id) LEFT JOIN e USING (paper_id) LEFT JOIN g USING (paper_id) LEFT JOIN n USING (paper_id)""")
+def final_document(spark: SparkSession, d: str) -> DataFrame:
+    q = _q(spark, d)
+    a = q.groupBy("paper_id").agg(F.min("id").alias("position"), F.max("paper_title").alias("queue_title"), F.count("*").alias("n_candidates"))
+    b = table(spark, d, "human_feedback").groupBy(F.col("paper_forum_id").alias("paper_id")).agg(F.min("id").alias("position"), F.countDistinct("id").alias("n_feedback"))
+    c = table(spark, d, "documents").where("paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("doc_id").alias("position"), F.count("*").alias("n_documents"))
+    e = table(spark, d, "openreview_papers").groupBy(F.col("id").alias("paper_id")).agg(F.min("submission_number").cast("long").alias("position"), F.max("title").alias("own_title"))
+    g = table(spark, d, "chunk_records").groupBy("paper_id").agg(F.min("chunk_index").cast("long").alias("position"), F.countDistinct("chunk_id").alias("n_chunks"))
+    keys = ["paper_id", "query_text", "source_view", "query_type"]
+    hard = q.groupBy(*keys).agg(F.count_if(F.col("review_label") == "hard_negative").alias("hard"))
+    rows = notes.with_results(q.select(*keys).distinct(), hard, keys)
+    x = notes.final_document([a, b, c, e, g], "paper_id", ["own_title", "queue_title"], rows, ["query_text", "source_view", "query_type", "hard"], ["query_text", "source_view"])
+    total = F.aggregate("queries", F.lit(0).cast("long"), lambda s, r: s + F.coalesce(r["hard"], F.lit(0)))
+    return x.select("paper_id", "first_stage", "title", "n_candidates", "n_feedback", "n_documents", "n_chunks", F.size("queries").alias("n_queries"), total.alias("hard"))
+
+
 KIND = """CASE WHEN doc_kind LIKE '%decision%' THEN 'decision' WHEN doc_kind LIKE '%meta_review%' THEN 'meta_review' WHEN doc_kind LIKE '%rebuttal%' OR doc_kind LIKE '%response%' THEN 'rebuttal'
   WHEN doc_kind LIKE '%review%' THEN 'review' WHEN doc_kind LIKE '%comment%' THEN 'comment' ELSE 'other' END"""
 

@@ -155,3 +155,16 @@ def test_passes_of_a_queue(spark):
         (claim("parsed"), lambda df: df.withColumn("payload", F.lit("text")).withColumn("parse_status", F.lit("done")), ["parse_status", "payload"]),
     ])
     assert sorted(tuple(r) for r in out.collect()) == [(1, "done", "text"), (2, "failed", None), (3, "done", "x")]
+
+
+def test_final_document_joins_and_titles(spark):
+    from folioforge.operators import notes
+
+    rows = spark.createDataFrame([("p", "q1", "method"), ("p", None, "method"), ("r", "q2", None)], "paper string, text string, view string")
+    results = spark.createDataFrame([("p", "q1", "method", 1), ("p", "q1", "method", 3), ("p", None, "method", 5), ("r", "q2", "x", 7)], "paper string, text string, view string, hard int")
+    joined = notes.with_results(rows, results, ["paper", "text", "view"])
+    assert sorted((tuple(r) for r in joined.collect()), key=str) == sorted([("p", "q1", "method", 3), ("p", None, "method", 5), ("r", "q2", None, None)], key=str)
+    a = spark.createDataFrame([("p", 4, " "), ("z", 1, "Z")], "paper string, position long, t string")
+    b = spark.createDataFrame([("p", 2, "P")], "paper string, position long, u string")
+    got = {r.paper: (r.title, r.first_stage, [q.hard for q in r.queries]) for r in notes.final_document([a, b], "paper", ["t", "u"], joined, ["text", "hard"], ["text"]).collect()}
+    assert got == {"p": ("P", 0, [5, 3]), "z": ("Z", 0, [])}
