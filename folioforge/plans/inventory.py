@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as tx
@@ -10,7 +10,7 @@ from folioforge.operators import exemplars, external, indexes, queue, store, sty
 from folioforge.plans.registry import query
 from folioforge.plans.retrieval import BM25_SQL, RANK_SQL
 from folioforge.session import shared_folder
-from folioforge.sources import paged, readers, table, writers
+from folioforge.sources import paged, readers, table
 
 Q = "WITH q AS (SELECT DISTINCT ON (id) * FROM candidate_queue)"
 WS = f"[{tx.WHITE}]+"
