@@ -12,7 +12,7 @@ place in a seeded order, found from a histogram and running sums inside its buck
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window

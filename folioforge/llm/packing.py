@@ -11,8 +11,6 @@ are cut: full pieces take a sequence each, the remainder is packed as a document
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
