@@ -22,26 +22,32 @@ def dense_search(spark: SparkSession, path: str, queries: DataFrame, k: int) ->
 
 def save_bm25_index(docs: DataFrame, path: str) -> None:
     """Postings (term, item_id, tf, dl), sorted by term within files so that a search reads few row
-    groups, and one row of statistics."""
+    groups, the terms with their document frequency, and one row of statistics."""
     tokens = docs.select("item_id", tx.alnum_tokens(F.col("text")).alias("tokens"))
     p = tokens.select("item_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     p = p.groupBy("term", "item_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     p.sortWithinPartitions("term", "item_id").write.mode("overwrite").parquet(f"{path}/postings")
-    tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+    spark = docs.sparkSession
+    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).write.mode("overwrite").parquet(f"{path}/terms")
+    n = docs.count()
+    stats = spark.read.parquet(f"{path}/terms").agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(float(max(n, 1)))).alias("avgdl"))
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def bm25_search(spark: SparkSession, path: str, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, decimals: int | None = None) -> DataFrame:
-    """Top ``k`` from a saved index: the queries' terms pick postings, scores are summed per pair.
-    For large query sets ``ranking.bm25_topk`` works in blocks instead."""
+    """Top ``k`` from a saved index: the queries' terms pick postings, which meet the queries in
+    blocks of bounded size (``ranking.bm25_blocks``), so that no pair of query and posting
+    becomes a row."""
     n, avgdl = spark.read.parquet(f"{path}/stats").first()
-    q = queries.select("query_id", F.explode(tx.alnum_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    p = spark.read.parquet(f"{path}/postings")
-    hits = p.join(q.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    tokens = queries.select("query_id", tx.alnum_tokens(F.col("text")).alias("tokens"))
+    q = tokens.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    terms = spark.read.parquet(f"{path}/terms").join(q.select("term").distinct(), "term", "left_semi").select("term", "df")
+    n_queries, n_terms = tokens.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    n_postings = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     part = F.col("tf") / (F.col("tf") + F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
     idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scores = q.join(df, "term").join(hits, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("qtf") * idf * part).alias("score"))
-    return ranking.ranked(scores.withColumn("score", F.round("score", decimals)) if decimals is not None else scores, k)
+    p = spark.read.parquet(f"{path}/postings").join(terms, "term").select("item_id", "term", (idf * part).alias("part"))
+    return ranking.bm25_blocks(q, p, k, n, n_postings, n_queries, n_terms, decimals)
 
 
 def manifest(df: DataFrame, **facts: str) -> dict[str, object]:

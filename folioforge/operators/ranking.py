@@ -9,12 +9,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text, vectors
 
 QUERY_BLOCK, ITEM_BLOCK = 4_096, 20_000
+#: of ``bm25_blocks``: postings, query terms and results of a task, items scored at once, terms of a query with a sum of their own
+POSTINGS, QUERY_TERMS, RESULTS, STRIP, LEVELS = 2_000_000, 1_000_000, 1_000_000, 16_384, 24
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: str = "query_id", item: str = "item_id", score: str = "score") -> DataFrame:
@@ -141,6 +145,112 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 0.9, b: f
     return ranked(hits, k)
 
 
+def bm25_blocks(queries: DataFrame, parts: DataFrame, k: int, n_items: int, n_postings: int, n_queries: int, n_terms: int, decimals: int | None = None) -> DataFrame:
+    """Exact top ``k`` for query terms (query_id, term, qtf) over parts (item_id, term, part), the score
+    being the sum of qtf * part over the terms of both; every part is above 0.
+
+    The counts size the blocks. A task adds up whole columns of items, a strip at a time: queries
+    are sorted by their terms, most used first, and a query starts from the sum of the terms
+    that it shares with the one before. ``decimals`` rounds the scores before they are compared.
+    """
+    cores = parts.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(1, -(-n_terms // QUERY_TERMS), -(-n_queries * k // RESULTS))
+    x_blocks = max(1, -(-n_postings // POSTINGS), min(cores, -(-n_items // 1000)))
+    x = parts.select("item_id", "term", "part", F.pmod(F.xxhash64("item_id"), F.lit(x_blocks)).cast("int").alias("xb"))
+    x = x.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    y = queries.select("query_id", "term", "qtf", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"))
+    y = y.withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(x_blocks - 1))))
+    near = 0.0 if decimals is None else 2 * 10.0**-decimals  # scores so near may be equal or change places when rounded
+
+    def codes(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+        """The distinct values in order, null first, and each row's place among them."""
+        values = pc.unique(column)
+        values = values.take(pc.sort_indices(values, null_placement="at_start"))
+        return values, pc.index_in(column, value_set=values).to_numpy()
+
+    def sequences(a: pa.Table, terms: pa.Array) -> tuple[pa.Array, list[tuple[int, list[tuple[int, int]], int]]]:
+        """Query ids, and in order (place of the id, its (term, count) pairs, pairs shared with the one before)."""
+        a = a.append_column("t", pc.index_in(a["term"], value_set=terms)).filter(pc.field("t").is_valid())
+        qids, at = codes(a["query_id"])
+        t, f = a["t"].to_numpy(), a["qtf"].to_numpy()
+        order = np.lexsort((t, -np.bincount(t, minlength=len(terms))[t], at))
+        pairs = list(zip(t[order].tolist(), f[order].tolist()))
+        ends = np.cumsum(np.bincount(at, minlength=len(qids))).tolist()
+        found, before = [], []
+        for own, i in sorted((pairs[s:e], i) for i, (s, e) in enumerate(zip([0, *ends], ends))):
+            same = next((j for j, (u, v) in enumerate(zip(own, before)) if u != v), min(len(own), len(before)))
+            found.append((i, own, min(same, LEVELS - 1)))
+            before = own
+        return qids, found
+
+    def block(a: pa.Table, c: pa.Table) -> pa.Table:
+        terms, t = codes(c["term"])
+        qids, asked = sequences(a, terms)
+        items, at = codes(c["item_id"])
+        part = c["part"].to_numpy()
+        order = np.lexsort((at, t, at // STRIP))
+        t, at, part = t[order], at[order], part[order]
+        spans = np.append(np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (at[1:] // STRIP != at[:-1] // STRIP))), len(t)) if len(t) else np.zeros(1, int)
+        best: list = [None] * len(qids)
+        floor = np.zeros(len(qids))
+        width = min(STRIP, -(-len(items) // 64) * 64)
+        sums = np.zeros((min(LEVELS, max((len(own) for _, own, _ in asked), default=0)) + 1, width))
+        span = 0
+        for base in range(0, len(items), STRIP):
+            columns: list = [None] * len(terms)
+            while span + 1 < len(spans) and at[spans[span]] < base + STRIP:
+                s, e = spans[span], spans[span + 1]
+                where, value = at[s:e] - base, part[s:e]
+                if e - s > width // 16:
+                    dense = np.zeros(width)
+                    dense[where] = value
+                    columns[t[s]] = None, dense
+                else:
+                    columns[t[s]] = where, value
+                span += 1
+            for i, own, same in asked:
+                for level, (term, f) in enumerate(own[same:], same):
+                    low, high = sums[min(level, LEVELS - 1)], sums[min(level + 1, LEVELS)]
+                    if level >= LEVELS:
+                        low = high
+                    if columns[term] is None:
+                        if low is not high:
+                            high[:] = low
+                        continue
+                    where, value = columns[term]
+                    if f != 1:
+                        value = f * value
+                    if where is None:
+                        np.add(low, value, out=high)
+                    else:
+                        if low is not high:
+                            high[:] = low
+                        high[where] += value  # an item has a term once
+                total = sums[min(len(own), LEVELS)]
+                # k items of different columns are at least as good as the k-th best column
+                peaks = total.reshape(64, -1).max(axis=0)
+                cut = max(floor[i], np.partition(peaks, -k)[-k] if len(peaks) > k else 0.0) - near
+                hit = np.flatnonzero(total >= cut) if cut > 0 else np.flatnonzero(total)
+                if len(hit):
+                    score = total[hit] if decimals is None else total[hit].round(decimals)
+                    hit = hit + base
+                    if best[i] is not None:
+                        hit, score = np.append(best[i][0], hit), np.append(best[i][1], score)
+                    first = np.lexsort((hit, -score))[:k]
+                    best[i] = hit[first], score[first]
+                    if len(first) == k:
+                        floor[i] = score[first[-1]]
+        kept = [(i, *x) for i, x in enumerate(best) if x is not None]
+        ids = np.repeat(np.array([i for i, _, _ in kept], int), [len(x) for _, x, _ in kept])
+        hits = np.concatenate([np.zeros(0, int), *[x for _, x, _ in kept]])
+        scores = np.concatenate([np.zeros(0), *[s for _, _, s in kept]])
+        return pa.table({"query_id": qids.take(pa.array(ids)), "item_id": items.take(pa.array(hits)), "score": scores})
+
+    kinds = y.schema["query_id"].dataType.simpleString(), x.schema["item_id"].dataType.simpleString()
+    found = y.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInArrow(block, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
+    return ranked(found, k)
+
+
 def dense_pooled_topk(queries: DataFrame, chunks: DataFrame, k: int, strategy: str = "max", depth: int = 3, normalise: bool = True) -> DataFrame:
     """Exact top ``k`` papers of each query by pooled scores of all their chunks.
 

@@ -1,6 +1,9 @@
+from collections import Counter
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from folioforge.operators import evaluation, ranking
+from folioforge.operators import evaluation, indexes, ranking
 
 Q_SCHEMA, X_SCHEMA = "query_id long, vector array<float>", "item_id long, vector array<float>"
 
@@ -89,3 +92,65 @@ def test_target_rank_takes_the_first_hit(spark):
 def test_mean_vectors(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 4.0]), ("a", None), ("b", None)], "k string, v array<float>")
     assert [(r.k, r.v) for r in ranking.pool_mean_vectors(df, "k", "v").collect()] == [("a", [2.0, 3.0])]
+
+
+def test_index_search_against_every_pair_in_small_blocks(spark, tmp_path, monkeypatch):
+    for name, value in {"POSTINGS": 900, "QUERY_TERMS": 60, "STRIP": 64, "LEVELS": 3}.items():
+        monkeypatch.setattr(ranking, name, value)
+    random = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(random.choice(words, n, p=np.arange(30, 0, -1) / 465))
+    docs = [(f"d{i:03d}", text(random.integers(1, 12))) for i in range(300)]
+    again = " ".join(["w29"] * len(docs[0][1].split()))  # an id that comes twice is one item; its length is that of either row
+    docs += [("empty", ""), ("null", None), ("d000", again), (None, "w2 w3")]
+    queries = [(i, text(random.integers(1, 9))) for i in range(40)] + [(40, "unknown"), (41, None), (None, "w1 w1 w2")]
+    indexes.save_bm25_index(spark.createDataFrame(docs, "item_id string, text string"), str(tmp_path))
+    tf, length = Counter(), Counter()
+    for d, t in docs:
+        tf.update((d, w) for w in (t or "").split())
+        length[d] = len((t or "").split())
+    df = Counter(w for _, w in tf)
+    avg, n = sum(tf.values()) / len(docs), len(docs)
+    for k in (4, 400):
+        found = indexes.bm25_search(spark, str(tmp_path), spark.createDataFrame(queries, "query_id long, text string"), k, decimals=8).collect()
+        got = {(r.query_id, r["rank"]): (r.item_id, r.score) for r in found}
+        expected = {}
+        for q, t in queries:
+            scores = Counter()
+            for w, f in Counter((t or "").split()).items():
+                for d in [d for d, x in tf if x == w]:
+                    c = tf[d, w]
+                    scores[d] += f * np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c / (c + 0.9 * (0.6 + 0.4 * length[d] / avg))
+            first = sorted(((-round(float(s), 8), d is not None, d or "") for d, s in scores.items()))[:k]
+            expected |= {(q, r): (d if some else None, -s) for r, (s, some, d) in enumerate(first, 1)}
+        assert got.keys() == expected.keys()
+        assert all(got[x][0] == expected[x][0] and abs(got[x][1] - expected[x][1]) < 2e-8 for x in got)
+
+
+def test_index_search_keeps_pairs_out_of_rows(spark, tmp_path):
+    """Every query matches every document: half a million pairs, of which no stage may write even a tenth."""
+    docs = spark.range(2000).select(F.col("id").alias("item_id"), F.concat(F.lit("a b c w"), F.col("id") % 50).alias("text"))
+    queries = spark.range(250).select(F.col("id").alias("query_id"), F.concat(F.lit("a b c w"), F.col("id") % 50).alias("text"))
+    indexes.save_bm25_index(docs, str(tmp_path))
+    found = indexes.bm25_search(spark, str(tmp_path), queries, 5, decimals=8)
+    assert found.count() == 1250 and {r.item_id % 50 for r in found.where("query_id = 57").collect()} == {7}
+    assert found.where("query_id = 57 AND rank = 1").first().item_id == 7
+    found.collect()
+    rows, plans = [], [found._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            plan = plan.executedPlan()
+        if plan.metrics().contains("numOutputRows"):
+            rows.append(plan.metrics().apply("numOutputRows").value())
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+        if "QueryStage" in plan.nodeName():
+            plans.append(plan.plan())
+    assert rows and max(rows) < 50_000
+
+
+def test_index_search_without_documents_or_queries(spark, tmp_path):
+    docs, queries = spark.createDataFrame([(1, "a b"), (2, None)], "item_id long, text string"), spark.createDataFrame([(1, "a")], "query_id long, text string")
+    for d, q, rows in ((docs, queries, 1), (docs.where("false"), queries, 0), (docs.where("text IS NULL"), queries, 0), (docs, queries.where("false"), 0)):
+        indexes.save_bm25_index(d, str(tmp_path))
+        assert indexes.bm25_search(spark, str(tmp_path), q, 3).count() == rows
