@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as tx
 from folioforge.functions import vectors
+from folioforge.functions.staging import spread, staged
 from folioforge.operators import ranking
 
 
@@ -22,14 +23,19 @@ def dense_search(spark: SparkSession, path: str, queries: DataFrame, k: int) ->
 
 def save_bm25_index(docs: DataFrame, path: str) -> None:
     """Postings (term, item_id, tf, dl), sorted by term within files so that a search reads few row
-    groups, the terms with their document frequency, and one row of statistics."""
-    tokens = docs.select("item_id", tx.alnum_tokens(F.col("text")).alias("tokens"))
-    p = tokens.select("item_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    p = p.groupBy("term", "item_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    groups, the terms with their document frequency, and one row of statistics. Terms are
+    counted within each row; only if an id comes twice are postings shuffled."""
+    n, most = docs.groupBy("item_id").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
+    x = staged(spread(docs.select("item_id", "text")), _words=F.sort_array(tx.alnum_tokens(F.col("text")))).where(F.size("_words") > 0)
+    words, size = F.col("_words"), F.size("_words")
+    x = staged(x, _starts=F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1))))
+    counts = F.transform("_starts", lambda i, j: F.struct(F.get(words, i).alias("term"), (F.coalesce(F.get("_starts", j + 1), size) - i).cast("long").alias("tf")))
+    p = x.select("item_id", size.alias("dl"), F.explode(counts).alias("c")).select("c.term", "item_id", "c.tf", "dl")
+    if (most or 0) > 1:  # rows of one id are one document; its length is that of any of them
+        p = p.groupBy("term", "item_id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
     p.sortWithinPartitions("term", "item_id").write.mode("overwrite").parquet(f"{path}/postings")
     spark = docs.sparkSession
     spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).write.mode("overwrite").parquet(f"{path}/terms")
-    n = docs.count()
     stats = spark.read.parquet(f"{path}/terms").agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(float(max(n, 1)))).alias("avgdl"))
     stats.write.mode("overwrite").parquet(f"{path}/stats")
 

@@ -18,7 +18,7 @@ from folioforge.functions import text, vectors
 
 QUERY_BLOCK, ITEM_BLOCK = 4_096, 20_000
 #: of ``bm25_blocks``: postings, query terms and results of a task, items scored at once, terms of a query with a sum of their own
-POSTINGS, QUERY_TERMS, RESULTS, STRIP, LEVELS = 2_000_000, 1_000_000, 1_000_000, 16_384, 24
+POSTINGS, QUERY_TERMS, RESULTS, STRIP, LEVELS = 1_000_000, 400_000, 600_000, 16_384, 24
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: str = "query_id", item: str = "item_id", score: str = "score") -> DataFrame:
@@ -168,16 +168,16 @@ def bm25_blocks(queries: DataFrame, parts: DataFrame, k: int, n_items: int, n_po
         values = values.take(pc.sort_indices(values, null_placement="at_start"))
         return values, pc.index_in(column, value_set=values).to_numpy()
 
-    def sequences(a: pa.Table, terms: pa.Array) -> tuple[pa.Array, list[tuple[int, list[tuple[int, int]], int]]]:
-        """Query ids, and in order (place of the id, its (term, count) pairs, pairs shared with the one before)."""
+    def sequences(a: pa.Table, terms: pa.Array) -> tuple[pa.Array, list[tuple[int, list[int], int]]]:
+        """Query ids, and in order (place of the id, its terms as count * number of terms + term, how many are those of the one before)."""
         a = a.append_column("t", pc.index_in(a["term"], value_set=terms)).filter(pc.field("t").is_valid())
         qids, at = codes(a["query_id"])
         t, f = a["t"].to_numpy(), a["qtf"].to_numpy()
         order = np.lexsort((t, -np.bincount(t, minlength=len(terms))[t], at))
-        pairs = list(zip(t[order].tolist(), f[order].tolist()))
+        coded = (f[order] * len(terms) + t[order]).tolist()
         ends = np.cumsum(np.bincount(at, minlength=len(qids))).tolist()
         found, before = [], []
-        for own, i in sorted((pairs[s:e], i) for i, (s, e) in enumerate(zip([0, *ends], ends))):
+        for own, i in sorted((coded[s:e], i) for i, (s, e) in enumerate(zip([0, *ends], ends))):
             same = next((j for j, (u, v) in enumerate(zip(own, before)) if u != v), min(len(own), len(before)))
             found.append((i, own, min(same, LEVELS - 1)))
             before = own
@@ -209,7 +209,8 @@ def bm25_blocks(queries: DataFrame, parts: DataFrame, k: int, n_items: int, n_po
                     columns[t[s]] = where, value
                 span += 1
             for i, own, same in asked:
-                for level, (term, f) in enumerate(own[same:], same):
+                for level, code in enumerate(own[same:], same):
+                    f, term = divmod(code, len(terms))
                     low, high = sums[min(level, LEVELS - 1)], sums[min(level + 1, LEVELS)]
                     if level >= LEVELS:
                         low = high
